@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, substrings
+from . import langid, neardup, substrings
 from .mixing import mix
 from .quality_rules import apply_rules
 from .secrets import joined, scan
@@ -36,12 +36,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held = langid.held_out("doc_id", 3, 1)
+    found = langid.identify(docs, langid.learn(docs, ~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op5_quality_rules": op5_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLES: dict[str, str] = {
