@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, substrings
+from . import langid, neardup, quality_model, substrings
 from .mixing import mix
 from .quality_rules import apply_rules
 from .secrets import joined, scan
@@ -43,6 +43,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held, calibrate = langid.held_out("doc_id", 5, 0), langid.held_out("doc_id", 5, 1)
+    found = quality_model.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held & ~calibrate, calibrate)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op5_quality_rules": op5_quality_rules,
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op7_language_id": op7_language_id,
+    "op4_quality_classifier": op4_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
