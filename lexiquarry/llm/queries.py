@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, quality_model, substrings
+from . import langid, neardup, quality_model, sentencepiece_sa, substrings, token_counts
 from .mixing import mix
 from .quality_rules import apply_rules
 from .secrets import joined, scan
@@ -49,6 +49,17 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every block of 1,000 characters; one that crosses a border counts where it begins."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = token_counts.attribute(docs, token_counts.blocks(F.col("text"), 1000))
+    return found.select("doc_id", "section", "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing", "doc_tokens")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sa.encode(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op5_quality_rules": op5_quality_rules,
@@ -57,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op7_language_id": op7_language_id,
     "op4_quality_classifier": op4_quality_classifier,
+    "op1_token_counts": op1_token_counts,
+    "op6_sentencepiece": op6_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
