@@ -205,8 +205,10 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     return {lang: " \n".join(parts) for lang, parts in out.items()}
 
 
-def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, ``keep`` columns, lang_pred, score, bits (cross entropy a letter).
+def identify(
+    docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str, str] = ("lang_pred", "score", "bits")
+) -> DataFrame:
+    """One row per input row: id, ``keep`` columns, and by ``names`` lang_pred, score, bits (cross entropy a letter).
 
     Null text, and text without a letter, is ``und`` with score 0; so is all text where nothing was
     learned. The score is second/(best + second) of the two least cross entropies, 1 with a single
@@ -216,7 +218,7 @@ def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", t
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(F.struct(id_col, *keep).alias("_row")).schema["_row"].dataType.fields)
     packed = docs.select(F.struct(id_col, *keep).alias("_row"), F.col(text_col).alias("_text"))
     out = packed.mapInArrow(_predict(samples), f"doc_id struct<{fields.replace('` ', '`: ')}>, lang_pred string, score double, bits double")
-    return out.select("doc_id.*", "lang_pred", "score", "bits")
+    return out.select("doc_id.*", *[F.col(c).alias(n) for c, n in zip(("lang_pred", "score", "bits"), names, strict=True)])
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:

@@ -67,8 +67,11 @@ def mix(
     most: float = 2.0,
     weight_col: str | None = None,
     seed: int = 20,
+    keep: tuple[str, ...] = (),
+    prefix: str = "",
 ) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, copies, cut_words, taken.
+    """One row per input row: id, ``keep`` columns, and, their names behind ``prefix``,
+    source, size, source_size, target, copies, cut_words, taken.
 
     ``copies`` are whole copies and ``cut_words`` the words of one further, cut copy: the document
     at the edge of a source's sample gives only the words still missing, so a source's taken words
@@ -82,12 +85,8 @@ def mix(
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
     weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
-    sized = scratch.keep(
-        docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), null_key(F.col(source_col)).alias("key"), count_words(F.col(text_col)).alias("size"), weight.alias("weight")
-        ),
-        "sized",
-    )
+    own = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), null_key(F.col(source_col)).alias("key"), count_words(F.col(text_col)).alias("size"), weight.alias("weight")]
+    sized = scratch.keep(docs.select(*own), "sized")
     totals = sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("_weighed"))
     plan = source_targets(totals, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -99,16 +98,22 @@ def mix(
         .withColumn("unit", F.when(F.col("_weighed") > 0, F.col("part") * F.col("source_size") / F.col("_weighed")).otherwise(F.lit(0.0))),
         "plan",
     )
-    ranked = sized.join(plan.drop("source"), "key").withColumn("rank", _rank(seed, F.col("id"), F.least(F.col("unit") * F.col("weight"), F.lit(1.0))))
-    ranked = ranked.withColumn("c1", F.floor(F.col("rank") * CELLS).cast("int")).withColumn("c2", F.floor(F.col("rank") * (CELLS * CELLS) - F.col("c1") * F.lit(CELLS)).cast("int"))
+
+    def rank_all(frame: DataFrame) -> DataFrame:
+        out = frame.join(plan.drop("source"), "key").withColumn("rank", _rank(seed, F.col("id"), F.least(F.col("unit") * F.col("weight"), F.lit(1.0))))
+        return out.withColumn("c1", F.floor(F.col("rank") * CELLS).cast("int")).withColumn("c2", F.floor(F.col("rank") * (CELLS * CELLS) - F.col("c1") * F.lit(CELLS)).cast("int"))
+
+    ranked = rank_all(sized)
     edge1 = _edge(ranked.groupBy("key", "c1").agg(F.sum("size").alias("words"), F.first("missing").alias("missing")), "c1", "missing", "e1", "left1")
     edge1 = scratch.keep(edge1, "edge1")
     inside = ranked.join(edge1, "key").where(F.col("c1") == F.col("e1"))
     edge2 = scratch.keep(_edge(inside.groupBy("key", "c2").agg(F.sum("size").alias("words"), F.first("left1").alias("left1")), "c2", "left1", "e2", "left2"), "edge2")
-    placed = ranked.join(edge1, "key", "left").join(edge2, "key", "left")
+    kept = [f"_k{i}" for i in range(len(keep))]
+    last = rank_all(docs.select(*own, *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])) if keep else ranked
+    placed = last.join(edge1, "key", "left").join(edge2, "key", "left")
     at_edge = (F.col("c1") == F.col("e1")) & (F.col("c2") == F.col("e2"))
     before = F.when(F.col("e1").isNull(), F.lit(True)).otherwise((F.col("c1") < F.col("e1")) | ((F.col("c1") == F.col("e1")) & (F.col("c2") < F.col("e2"))))
-    out = ["id", "source", "size", "source_size", "target", "whole", "extra"]
+    out = ["id", "source", "size", "source_size", "target", "whole", "extra", *kept]
     plain = placed.where(~F.coalesce(at_edge, F.lit(False))).withColumn("extra", F.when(F.coalesce(before, F.lit(False)) & (F.col("missing") > 0), F.col("size")).otherwise(F.lit(0))).select(out)
     line = W.partitionBy("key").orderBy("rank", "id", "size")
     run = F.sum("size").over(line.rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -116,9 +121,8 @@ def mix(
     copies = F.when((F.col("extra") == F.col("size")) & (F.col("size") > 0), F.col("whole") + 1).otherwise(F.col("whole"))
     copies = F.least(copies, F.lit(int(most))).cast("long")
     cut = F.when((F.col("extra") < F.col("size")) & (F.col("whole") < int(most)), F.col("extra")).otherwise(F.lit(0)).cast("long")
-    return plain.unionByName(edge).select(
-        F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), cut.alias("cut_words"), (copies * F.col("size") + cut).alias("taken")
-    )
+    own_out = {"source": F.col("source"), "size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "cut_words": cut, "taken": copies * F.col("size") + cut}
+    return plain.unionByName(edge).select(F.col("id").alias(id_col), *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], *[v.alias(prefix + n) for n, v in own_out.items()])
 
 
 def _edge(cells: DataFrame, cell: str, want: str, name: str, left: str) -> DataFrame:

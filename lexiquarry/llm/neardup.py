@@ -32,7 +32,7 @@ _RNG = np.random.default_rng(85)
 _MULTIPLY = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 S = [f"s{i}" for i in range(4)]
-SIGNED = "doc_id long, n_shingles long, fp binary, sig binary"
+SIGNED = "doc_id long, text_hash long, n_shingles long, fp binary, sig binary"
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
@@ -51,17 +51,18 @@ def fingerprint(grams: np.ndarray) -> bytes:
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = X.text_bytes(batch.column(1))
+            data, offsets = X.text_bytes(batch.column(2))
             for a, b in X.pieces(offsets, 2 << 20):
                 sets = X.shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(1).slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "fp", "sig"],
+                    names=["doc_id", "text_hash", "n_shingles", "fp", "sig"],
                 )
 
     return run
@@ -132,7 +133,8 @@ def _short(prefix: str) -> list[Column]:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 5) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept, n_links (confirmed links of the row's shingle set).
+    """One row per input row: id, n_shingles, component_id, kept, n_links (confirmed links of the row's
+    shingle set), text_hash (xxhash64 of its text, which with the id tells rows apart).
 
     Null text or no words: n_shingles 0, linked with nothing. Rows that repeat an id stay rows of
     their own; equal rows share class and ``kept``. A null id cannot be a class: such rows are linked
@@ -141,7 +143,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     signed = scratch.keep(plain.mapInArrow(_sign(k), SIGNED), "signed")
     usable = signed.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     least = usable.groupBy("fp").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"))
@@ -160,7 +162,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     def confirmed(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         pairs = scratch.keep(pairs, f"{name}-pairs")
         wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(nodes.select("fp", "rep"), "fp")
-        found = plain.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("fp", "text").mapInArrow(_with_sets(k), "fp binary, grams binary").dropDuplicates(["fp"])
+        found = plain.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("fp", "text").mapInArrow(_with_sets(k), "fp binary, grams binary").dropDuplicates(["fp"])
         sets = scratch.keep(found, f"{name}-sets")
         both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("ga")), "a")
         links = scratch.keep(both.mapInArrow(_confirm(percent), "a binary, b binary"), f"{name}-links")
@@ -193,10 +195,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     rooted = scratch.keep(rooted, "rooted")
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = scratch.keep(rooted.join(names, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    shown = signed.select("doc_id", "n_shingles", "fp").where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).join(named, "fp").select("doc_id", "n_shingles", "component_id", "n_links")
-    alone = signed.where(F.col("fp").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    shown = signed.select("doc_id", "text_hash", "n_shingles", "fp").where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).join(named, "fp").select("doc_id", "text_hash", "n_shingles", "component_id", "n_links")
+    alone = signed.where(F.col("fp").isNull() | F.col("doc_id").isNull()).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     every = shown.unionByName(alone)
-    return every.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_links")
+    return every.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_links", "text_hash")
 
 
 def _placed(buckets: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(read_table(spark, sf_dir, "documents"))
+    return neardup.classes(read_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

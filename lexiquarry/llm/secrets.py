@@ -96,8 +96,8 @@ def _entropy_span(start: Column, m: Column) -> Column:
     return F.when(walked["lo"].isNotNull(), F.struct((start + walked["lo"]).alias("start"), F.lit(3).alias("kind"), (start + walked["hi"] + WIDTH).alias("end")))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, ``keep`` columns, n_assign, n_access, n_hex, and arrays ``base`` and ``spans`` of (start, kind, end), sorted.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: tuple[str, ...] = (), keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """id, ``keep`` columns, and, their names behind ``prefix``, n_assign, n_access, n_hex, and arrays ``base`` and ``spans`` of (start, kind, end), sorted.
 
     ``allowed`` adds regular expressions to the allow-list. Null text counts as empty and gives no
     span; ids may be null or repeat; empty tables give empty results; a candidate of any length is
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowe
     apart = F.filter(hits, lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return frame.withColumn("spans", F.array_sort(F.concat("base", apart))).select(
-        F.col("_id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), "base", "spans"
+        F.col("_id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[number(k).alias(f"{prefix}n_{KINDS[k]}") for k in range(3)], F.col("base").alias(f"{prefix}base"), F.col("spans").alias(f"{prefix}spans")
     )
 
 

@@ -44,6 +44,14 @@ def fresh_name(stem: str, taken) -> str:
     return stem
 
 
+def fresh_prefix(taken) -> str:
+    """Underscores until no column of ``taken`` begins with them."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
+
+
 def null_key(column: Column) -> Column:
     """A non-null string that is equal exactly for equal values, null included."""
     return F.when(column.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), column.cast("string")))
