@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import textops as X
 
 BLOCK = 1024
@@ -215,6 +216,7 @@ def identify(
     language; ties go to the language first by name. Repeated rows stay; ids may be null; empty tables
     give empty results.
     """
+    ship(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(F.struct(id_col, *keep).alias("_row")).schema["_row"].dataType.fields)
     packed = docs.select(F.struct(id_col, *keep).alias("_row"), F.col(text_col).alias("_text"))
     out = packed.mapInArrow(_predict(samples), f"doc_id struct<{fields.replace('` ', '`: ')}>, lang_pred string, score double, bits double")

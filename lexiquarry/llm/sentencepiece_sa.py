@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import textops as X
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -381,6 +382,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     Null and empty texts have no tokens. Repeated rows stay; empty tables give empty
     results; columns not kept are ignored. Texts of any length are encoded whole.
     """
+    ship(docs.sparkSession)
     packed = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))
     row = packed.schema["_row"].dataType.simpleString()
     return packed.mapInArrow(_encode(_model_bytes(model)), f"_row {row}, n_tokens long, ids array<int>").select("_row.*", "n_tokens", "ids")
@@ -388,6 +390,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
 
 def decode(coded: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
     """``keep`` columns and the text that the ids spell: the encoded text, a space mark shown as a space and null as empty."""
+    ship(coded.sparkSession)
     packed = coded.select(F.struct(*keep).alias("_row"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("_ids"))
     row = packed.schema["_row"].dataType.simpleString()
     return packed.mapInArrow(_decode(_model_bytes(model)), f"_row {row}, text string").select("_row.*", "text")

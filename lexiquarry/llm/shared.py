@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: The white space of the word contracts: space and the controls 9 to 13.
 WHITE = "\\x20\\x09-\\x0D"
 WORD_REGEX = f"[^{WHITE}]+"
@@ -83,6 +85,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lexiquarry/{uuid.uuid4().hex}"
         atexit.register(self._quiet_drop_all)

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import textops as X
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -151,6 +152,7 @@ def attribute(docs: DataFrame, spans: Column, text_col: str = "text", keep: tupl
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    ship(docs.sparkSession)
     kind = "array<struct<name:string,start:int,end:int>>"
     clean = F.filter(F.coalesce(spans.cast(kind), F.array().cast(kind)), lambda s: s.isNotNull() & s["start"].isNotNull() & s["end"].isNotNull())
     packed = docs.select(F.struct(*keep).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), clean.alias("_spans"))
