@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, quality_model, sentencepiece_sa, substrings, token_counts
+from . import chroma, langid, neardup, quality_model, sentencepiece_sa, substrings, token_counts
 from .mixing import mix
 from .quality_rules import apply_rules
 from .secrets import joined, scan
@@ -60,6 +60,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_sa.encode(read_table(spark, sf_dir, "documents"))
 
 
+def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no sound: a document's UTF-8 bytes are its samples. Ids divisible by 50 are searched against all."""
+    return chroma.match_recordings(read_table(spark, sf_dir, "documents"), lambda i: i % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op5_quality_rules": op5_quality_rules,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op1_token_counts": op1_token_counts,
     "op6_sentencepiece": op6_sentencepiece,
+    "op3_chroma_fingerprints": op3_chroma_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
