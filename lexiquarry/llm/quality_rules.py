@@ -141,7 +141,8 @@ def certified_cutoffs(scored: DataFrame, alpha: float, delta: float) -> DataFram
         counts.withColumn("n", F.sum("good").over(per_rule))
         .withColumn("good_out", F.coalesce(F.sum("good").over(strict), F.lit(0)))
         .withColumn("bad_out", F.coalesce(F.sum("bad").over(strict), F.lit(0)))
-        # cutoff = this bin: what lies above is rejected. Bins without rows reject like the next one above.
+        # rejecting what lies above this bin is rejecting from the next bin with rows on, and the laxest such cutoff is right under that
+        .withColumn("lax", F.coalesce(F.lead("bin").over(per_rule.orderBy("bin")) - 1, F.lit(BINS - 1)))
     )
     strata = grid.select("stratum").distinct().withColumn("m", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
     grid = grid.join(strata, "stratum")
@@ -149,7 +150,7 @@ def certified_cutoffs(scored: DataFrame, alpha: float, delta: float) -> DataFram
     tested = grid.withColumn("sure", (F.col("n") > 0) & (binomial_tail(F.col("good_out"), F.col("n"), level) <= F.lit(delta / len(RULES)) / F.col("m")))
     lax_first = per_rule.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, W.currentRow)
     tested = tested.withColumn("sure", F.min(F.col("sure").cast("int")).over(lax_first) == 1)
-    best = tested.where("sure").groupBy("stratum", "rule").agg(F.max_by("bin", F.struct(F.col("bad_out") - F.col("good_out"), F.col("bin"))).alias("cutoff"))
+    best = tested.where("sure").groupBy("stratum", "rule").agg(F.max_by("lax", F.struct(F.col("bad_out") - F.col("good_out"), F.col("bin"))).alias("cutoff"))
     return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chroma, langid, neardup, quality_model, sentencepiece_sa, substrings, token_counts
 from .mixing import mix
+from .oracles import ORACLES
 from .quality_rules import apply_rules
 from .secrets import joined, scan
 from .shared import read_table
@@ -19,7 +20,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("rule")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(read_table(spark, sf_dir, "documents")).drop("text_hash")
+    return neardup.classes(read_table(spark, sf_dir, "documents")).drop("text_hash", "n_links")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,32 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chroma_fingerprints": op3_chroma_fingerprints,
 }
 
-ORACLES: dict[str, str] = {
-    "op2_mix_sources": r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w,
-        2.0::DOUBLE * source_size AS cap FROM s),
-l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size)::DOUBLE FROM s)
-          - coalesce(sum(cap) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-          / sum(w) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
-      WINDOW r AS (ORDER BY cap / w, source NULLS LAST)),
-f AS (SELECT min(CASE WHEN level * w <= cap THEN cap / w END) AS from_ratio FROM l),
-v AS (SELECT arg_min(level, (cap / w, source)) AS level FROM l WHERE level * w <= cap),
-t AS (SELECT l.source, l.source_size, CASE WHEN v.level IS NULL THEN l.cap ELSE least(l.cap, v.level * l.w) END AS target FROM l, v),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
-q AS (SELECT *, least(floor(rate + 1e-12), 2)::BIGINT AS whole FROM p),
-k AS (SELECT d.doc_id, d.source, d.size, q.source_size, q.target, q.whole, q.target - q.whole * q.source_size AS missing,
-        greatest(q.rate - q.whole, 0) AS part,
-        (('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':20'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM k),
-x AS (SELECT *, CASE WHEN missing > 0 THEN greatest(0, least(size, floor(missing + 1e-6)::BIGINT - before)) ELSE 0 END AS extra FROM o)
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN extra = size AND size > 0 THEN least(whole + 1, 2) ELSE whole END * size
-   + CASE WHEN extra < size AND whole < 2 THEN extra ELSE 0 END)::BIGINT AS taken,
-  (CASE WHEN extra = size AND size > 0 THEN least(whole + 1, 2) ELSE whole END)::BIGINT AS copies,
-  (CASE WHEN extra < size AND whole < 2 THEN extra ELSE 0 END)::BIGINT AS cut_words
-FROM x""",
-}
+__all__ = ["ORACLES", "QUERIES"]

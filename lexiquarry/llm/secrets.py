@@ -78,7 +78,7 @@ def _entropy_span(start: Column, m: Column) -> Column:
     many = lambda j, c: F.size(F.filter(F.slice(chars, j, WIDTH), lambda x: x == c)).cast("double")
     full = F.log2(F.lit(float(WIDTH)))
     first = F.aggregate(F.slice(chars, 1, WIDTH), F.lit(0.0), lambda s, c: s + F.log2(many(F.lit(1), c)))
-    over = lambda s: full - s / WIDTH >= bits
+    over = lambda s: full - s / WIDTH >= bits - 1e-9
     n = F.char_length(m)
 
     def slide(a: Column, j: Column) -> Column:
