@@ -182,8 +182,12 @@ class Store:
         return "file://" + os.path.join(os.path.abspath(self.folder), name, table)
 
     def _all(self, manifest: Manifest, table: str, schema: str) -> DataFrame:
-        paths = [self._path(s.name, table) for s in manifest.segments]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        """Segments have ids of their own, so their rows are only put side by side."""
+        out = None
+        for s in manifest.segments:
+            part = self.spark.read.schema(schema).parquet(self._path(s.name, table))
+            out = part if out is None else out.unionByName(part)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
     def _need(self, manifest: Manifest | None) -> Manifest:
         found = manifest or self.manifest()

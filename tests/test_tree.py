@@ -24,7 +24,7 @@ def put(root, name, data):
 def tree(tmp_path):
     put(tmp_path, ".gitignore", "ignored/\n*.log\n")
     put(tmp_path, "README.md", "# Title\nThis is a test project. Hello world.\n")
-    put(tmp_path, "src/main.rs", "fn main() { parse_http_response(); }\nfn other() -> HttpResponse {}\n")
+    put(tmp_path, "src/main.rs", "fn main() { parse_http_response() -> HttpResponse; }\nfn other() {}\n")
     put(tmp_path, "src/_lib.rs", "struct HttpResponse; let snake_case_name = 1; // naïve café résumé\n")
     put(tmp_path, ".hidden/notes.txt", "hidden hello")
     put(tmp_path, "big.txt", "hello world " * 20)
