@@ -9,7 +9,7 @@ K1, B = 1.2, 0.75
 
 
 def idf(n: Column, df: Column) -> Column:
-    """ln(1 + (n - df + 0.5) / (df + 0.5)), df taken as n at most."""
+    """Natural logarithm of one plus the odds against the term, half a document added to either side; df is n at most."""
     d = F.least(df, n).cast("double")
     return F.log(1 + (n - d + 0.5) / (d + 0.5))
 

@@ -48,14 +48,14 @@ def test_scores_add_over_leaves(small):
 
 
 def test_ranking_and_pages(spark):
-    two = corpus(spark, ["a", "a a", "a a a", "a a a a", "b"])
+    two = corpus(spark, ["a " * i for i in range(1, 5)] + ["b"])
     found = Q.search(*two, "a")
     assert [r.doc_id for r in found.hits.collect()] == [3, 2, 1, 0]
     cut = Q.search(*two, "a", limit=2, offset=1)
     assert [r.doc_id for r in cut.hits.collect()] == [2, 1] and cut.total() == 4
     none = Q.search(*two, "a", limit=0)
     assert none.hits.count() == 0 and none.total() == 4
-    ties = corpus(spark, ["x y", "x z", "x w"])
+    ties = corpus(spark, "x y|x z|x w".split("|"))
     assert [r.doc_id for r in Q.search(*ties, "x").hits.collect()] == [0, 1, 2]
     roots = Q.search_roots({"r1": two, "r2": ties}, "a OR x")
     assert roots.total() == 7 and [r.root for r in roots.hits.collect()].count("r2") == 3

@@ -61,7 +61,7 @@ def test_build_search_update_merge(spark, tree):
     root = Root(spark, str(tree))
     stats = root.build()
     assert (stats["docs_total"], stats["docs_indexed"], stats["docs_skipped"]) == (9, 7, 2)
-    assert names(root, "hello") == [".hidden/notes.txt", "README.md", "big.txt"]
+    assert names(root, "hello") == ".hidden/notes.txt README.md big.txt".split()
     assert names(root, "http response") == ["src/_lib.rs", "src/main.rs"] and names(root, '"parse http"') == ["src/main.rs"]
     assert names(root, "café") == ["src/_lib.rs"] and names(root, "marked") == ["bom.txt"] and names(root, "secret") == []
     assert root.verify() == []
@@ -92,7 +92,7 @@ def test_build_search_update_merge(spark, tree):
 
 def test_random_changes_equal_a_rebuild(spark, tmp_path):
     rng = random.Random(3)
-    words = ["alpha", "beta", "gamma", "delta", "parseThis", "x_x"]
+    words = "alpha beta gamma delta parseThis x_x".split()
     text = lambda: " ".join(rng.choice(words) for _ in range(4))
     for i in range(6):
         put(tmp_path, f"f{i}.txt", text())
@@ -207,9 +207,9 @@ def test_engine_and_protocol(spark, tmp_path):
     assert engine.list_roots() == [str(tmp_path / "r1"), str(tmp_path / "r2")]
     assert engine.search("alpha").total() == 2 and engine.search("alpha", roots=[str(tmp_path / "r2")]).total() == 1
     assert engine.status().count() == 2
-    out = [json.loads(x) for x in engine.handle_line(json.dumps({"id": 7, "method": "Query", "params": {"query": "gamma"}}))]
+    out = [json.loads(x) for x in engine.handle_line(json.dumps(dict(id=7, method="Query", params=dict(query="gamma"))))]
     assert out[0]["type"] == "Hit" and out[-1] == {"id": 7, "type": "Done", "total": 1}
-    assert json.loads(engine.handle_line('{"id": 8, "method": "Query", "params": {"query": "-x"}}')[0])["type"] == "Error"
+    assert json.loads(engine.handle_line(json.dumps(dict(id=8, method="Query", params=dict(query="-x"))))[0])["type"] == "Error"
     assert json.loads(engine.handle_line("not json")[0])["id"] is None
     assert json.loads(engine.handle_line('{"id": 1, "method": "ListRoots"}')[0])["result"] == engine.list_roots()
     assert engine.remove_root(str(tmp_path / "r2")) and not engine.remove_root(str(tmp_path / "r2"))
@@ -221,7 +221,7 @@ def test_cli(spark, tmp_path, capsys):
         assert cli.main(argv, spark) == 0, argv
     out = capsys.readouterr().out
     assert "a.txt:1" in out and "[alpha] beta" in out and "ok" in out
-    assert cli.main(["search", "-x OR", "--root", str(tmp_path)], spark) == 2 if False else cli.main(["search", "(x", "--root", str(tmp_path)], spark) == 2
+    assert cli.main(["search", "(x", "--root", str(tmp_path)], spark) == 2
     assert cli.main(["verify", str(tmp_path / "none")], spark) == 1
 
 
