@@ -7,8 +7,10 @@ give equal sums wherever they stand); each difference is quantised to two Gray-c
 pairs are one 32-bit integer a frame.
 
 Two recordings align at the offset that most of their equal integers vote for; the bit errors of the
-overlap at that offset tell a match from chance. Equal fingerprints are one class. Candidates share
-two minima of spaced triples of integers in one of 12 bands, so no recording meets all others.
+overlap at that offset tell a match from chance. Equal fingerprints are one class. Candidates come
+from an inverted index of all integers: every query and recording with an integer in common, whose
+votes are summed by offset before any fingerprint is moved; those whose winning offset overlaps too
+little are left out. Nothing that alignment would accept is missed.
 """
 
 from __future__ import annotations
@@ -35,12 +37,8 @@ FILTERS = (
     ("pitch3", 0, 6, 9, 0.20), ("pitch3", 6, 6, 9, 0.20), ("time3", 2, 8, 9, 0.05), ("pitch", 3, 6, 6, 0.20),
 )
 WIDEST = max(f[3] for f in FILTERS)
-BANDS, ROWS = 12, 2
 MOST_ERRORS, LEAST_INTS = 0.25, 8
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
-_RNG = np.random.default_rng(3)
-_MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
 def _fold() -> np.ndarray:
@@ -106,28 +104,43 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out, np.concatenate(([0], np.cumsum(many)))
 
 
-def sketch(ints: np.ndarray) -> np.ndarray:
-    """Band keys of a fingerprint: minima over spaced triples of integers."""
-    if len(ints) < 9:
-        grams = X.mix(ints.astype(np.uint64) + np.uint64(len(ints)))
-    else:
-        x = ints.astype(np.uint64)
-        grams = X.mix((x[:-8] << np.uint64(32) | x[4:-4]) ^ X.mix(x[8:]))
-    best = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(grams), 8192):
-        best = np.minimum(best, (grams[i : i + 8192, None] * _MULTIPLY + _ADD).min(axis=0))
-    best = best.reshape(BANDS, ROWS)
-    return X.mix(best[:, 0] * np.uint64(31) + X.mix(best[:, 1]) + np.arange(BANDS, dtype=np.uint64))
-
-
 def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = X.text_bytes(batch.column(1))
         for a, b in X.pieces(offsets, 1 << 20):
             ints, at = fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            bands = [sketch(ints[i:j]).view(np.int64).tolist() if j > i else [] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             raw = [ints[i:j].astype("<u4").tobytes() if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(raw, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "ints", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(raw, pa.binary())], names=["doc_id", "ints"])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, ints) -> (key, rid, place): one row an integer, by blocks."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(1)
+        ints = [np.frombuffer(x.as_buffer(), "<i4") for x in column]
+        sizes = np.array([len(x) for x in ints], np.int64)
+        ends = np.cumsum(sizes)
+        keys = np.concatenate(ints)
+        rids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+        places = np.arange(len(keys)) - np.repeat(ends - sizes, sizes)
+        for i in range(0, len(keys), 1 << 17):
+            cols = [pa.array(keys[i : i + (1 << 17)], pa.int32()), pa.array(rids[i : i + (1 << 17)], pa.int64()), pa.array(places[i : i + (1 << 17)], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "rid", "place"])
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """(q, c) by rid: an asked class and another that share an integer, whose winning offset leaves overlap enough."""
+    index = lambda frame: frame.select("rid", "ints").mapInArrow(_entries, "key int, rid long, place int")
+    asked = index(classes.where("asked")).select("key", F.col("rid").alias("q"), F.col("place").alias("at"))
+    met = index(classes).join(asked, "key").where(F.col("rid") != F.col("q"))
+    votes = met.groupBy("q", F.col("rid").alias("c"), (F.col("place") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    won = votes.groupBy("q", "c").agg((-F.max(F.struct("votes", (-F.col("offset")).alias("back")))["back"]).alias("offset"))  # the least of equally voted ones, as in align
+    sizes = lambda name, n: classes.select(F.col("rid").alias(name), (F.octet_length("ints") / 4).cast("long").alias(n))
+    sized = won.join(sizes("q", "nq"), "q").join(sizes("c", "nc"), "c")
+    overlap = F.least(F.col("nq"), F.col("nc") - F.col("offset")) - F.greatest(F.lit(0), -F.col("offset"))
+    return sized.where((overlap >= LEAST_INTS) & (2 * overlap >= F.least("nq", "nc"))).select("q", "c")
 
 
 def align(q: np.ndarray, c: np.ndarray) -> tuple[int, int, int, int]:
@@ -172,20 +185,17 @@ def match_recordings(media: DataFrame, queries, id_col: str = "doc_id", media_co
     """
     scratch = Scratch(media.sparkSession)
     plain = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("samples"))
-    printed = scratch.keep(plain.mapInArrow(_print, "doc_id long, ints binary, bands array<long>").withColumn("fp", F.when(F.col("ints").isNotNull(), F.unhex(F.md5("ints")))), "printed")
+    printed = scratch.keep(plain.mapInArrow(_print, "doc_id long, ints binary").withColumn("fp", F.when(F.col("ints").isNotNull(), F.unhex(F.md5("ints")))), "printed")
     is_query = queries(F.col("doc_id"))
     usable = printed.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
-    classes = usable.groupBy("fp").agg(F.min(F.struct("doc_id", "ints", "bands")).alias("m"), F.max(is_query.cast("int")).alias("asked"))
-    classes = scratch.keep(classes.select("fp", F.col("m.doc_id").alias("class_id"), F.col("m.ints").alias("ints"), F.col("m.bands").alias("bands"), (F.col("asked") == 1).alias("asked")), "classes")
-    keys = classes.select(F.explode("bands").alias("key"), "fp", "asked")
-    asked = scratch.keep(keys.where("asked").select("key", F.col("fp").alias("q")), "asked")
-    pairs = keys.select("key", F.col("fp").alias("c")).join(asked, "key").where(F.col("q") != F.col("c")).select("q", "c").distinct()
-    pairs = scratch.keep(pairs, "pairs")
-    both = pairs.join(classes.select(F.col("fp").alias("q"), F.col("ints").alias("qi")), "q").join(classes.select(F.col("fp").alias("c"), F.col("ints").alias("ci")), "c")
-    found = scratch.keep(both.mapInArrow(_verify, "q binary, c binary, offset long, votes long, bit_errors long, overlap long"), "found")
-    shown_c = found.join(classes.select(F.col("fp").alias("c"), "class_id"), "c")
-    lists = shown_c.groupBy(F.col("q").alias("fp")).agg(F.sort_array(F.collect_list(F.struct("class_id", "offset", "votes", "bit_errors", "overlap"))).alias("matches"))
-    named = classes.select("fp", "class_id").join(lists, "fp", "left")
+    classes = usable.groupBy("fp").agg(F.min(F.struct("doc_id", "ints")).alias("m"), F.max(is_query.cast("int")).alias("asked"))
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("rid"), "fp", F.col("m.doc_id").alias("class_id"), F.col("m.ints").alias("ints"), (F.col("asked") == 1).alias("asked")), "classes")
+    pairs = scratch.keep(_candidates(classes), "pairs")
+    both = pairs.join(classes.select(F.col("rid").alias("q"), F.col("ints").alias("qi")), "q").join(classes.select(F.col("rid").alias("c"), F.col("ints").alias("ci")), "c")
+    found = scratch.keep(both.mapInArrow(_verify, "q long, c long, offset long, votes long, bit_errors long, overlap long"), "found")
+    shown_c = found.join(classes.select(F.col("rid").alias("c"), "class_id"), "c")
+    lists = shown_c.groupBy(F.col("q").alias("rid")).agg(F.sort_array(F.collect_list(F.struct("class_id", "offset", "votes", "bit_errors", "overlap"))).alias("matches"))
+    named = classes.select("rid", "fp", "class_id").join(lists, "rid", "left").drop("rid")
     n_ints = F.coalesce(F.octet_length("ints") / 4, F.lit(0)).cast("long")
     shown = printed.select("doc_id", n_ints.alias("n_ints"), F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(named, "fp", "left")
     ask = F.coalesce(is_query, F.lit(False))
