@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiquarry.llm import langid, mixing, neardup, secrets, sentencepiece_sa
-from lexiquarry.llm.shared import Scratch, fresh_prefix, read_table, words_column
+from lexiquarry.llm.shared import Scratch, fresh_prefix, read_table
 
 #: An identification is rejected where no learned language parses the text better than this many bits a letter.
 MOST_BITS = 12.0
@@ -50,13 +50,17 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats, drops or (one a source) cuts documents so that each source's words meet its target."""
+    """Repeats or drops whole documents so that each source's words come near its target.
+
+    The document at the edge of a source's sample, which mixing.mix cuts, is given whole or left out,
+    whichever lands nearer; a source misses its target by at most half that document.
+    """
     rest = tuple(c for c in docs.columns if c != "doc_id")
     p = fresh_prefix(docs.columns)
     mixed = mixing.mix(docs, keep=rest, prefix=p)
-    whole = mixed.where(F.col(f"{p}copies") > 0).withColumn(f"{p}copy", F.explode(F.array_repeat(F.lit(1), F.col(f"{p}copies").cast("int"))))
-    cut = mixed.where(F.col(f"{p}cut_words") > 0).withColumn("text", F.array_join(F.slice(words_column(F.col("text")), 1, F.col(f"{p}cut_words").cast("int")), " "))
-    return whole.select(*docs.columns).unionByName(cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns))
+    edge = (F.col(f"{p}cut_words") > 0) & (2 * F.col(f"{p}cut_words") >= F.col(f"{p}size"))
+    copies = (F.col(f"{p}copies") + edge.cast("long")).cast("int")
+    return mixed.where(copies > 0).withColumn(f"{p}copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
