@@ -38,6 +38,9 @@ ALLOWED = (
     "(?i:abcdefgh|123456789)",
     "(.)\\1{7}",
 )
+#: class of one window -> (pattern of its characters, bits), tried in order: the 1st percentile of the entropy of 20
+#: random characters of 16, 32, 62 and 64 signs, so a random window of a class is under its cutoff in about 1 of 100 cases.
+OWN_CLASSES = (("hex", "^[0-9a-f]+$|^[0-9A-F]+$", 2.9), ("one case", "^[0-9a-z]+$|^[0-9A-Z]+$", 3.34), ("alnum", "^[A-Za-z0-9]+$", 3.64), ("base64", "", 3.64))
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -69,39 +72,55 @@ def _xlogx(c: Column) -> Column:
     return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
 
 
-def _entropy_span(start: Column, m: Column) -> Column:
+def _bits(chars: Column, classes: tuple) -> Column:
+    bits = F.lit(classes[-1][2])
+    for _, pattern, b in classes[-2::-1]:
+        bits = F.when(chars.rlike(pattern), F.lit(b)).otherwise(bits)
+    return bits
+
+
+def _entropy_span(start: Column, m: Column, own_class: bool) -> Column:
     """From the first to the last window over the threshold; null if there is none."""
-    bits = F.lit(CLASSES[-1][2])
-    for _, pattern, b in CLASSES[-2::-1]:
-        bits = F.when(m.rlike(pattern), F.lit(b)).otherwise(bits)
+    bits = _bits(m, CLASSES)
+
+    def least(j: Column) -> Column:
+        """The threshold of the window at ``j``: with ``own_class``, its own class's too if it has digits and letters."""
+        if not own_class:
+            return bits
+        window = F.substr(m, j + 1, F.lit(WIDTH))
+        return F.when(window.rlike("[0-9]") & window.rlike("[A-Za-z]"), F.least(bits, _bits(window, OWN_CLASSES))).otherwise(bits)
+
     chars = F.split(m, "", -1)
     many = lambda j, c: F.size(F.filter(F.slice(chars, j, WIDTH), lambda x: x == c)).cast("double")
     full = F.log2(F.lit(float(WIDTH)))
     first = F.aggregate(F.slice(chars, 1, WIDTH), F.lit(0.0), lambda s, c: s + F.log2(many(F.lit(1), c)))
-    over = lambda s: full - s / WIDTH >= bits - 1e-9
+    over = lambda s, j: full - s / WIDTH >= least(j) - 1e-9
     n = F.char_length(m)
 
     def slide(a: Column, j: Column) -> Column:
         gone, come = F.get(chars, j - 1), F.get(chars, j - 1 + WIDTH)
         c_gone, c_come = many(j, gone), many(j, come)
         s = F.when(gone == come, a["s"]).otherwise(a["s"] + _xlogx(c_gone - 1) - _xlogx(c_gone) + _xlogx(c_come + 1) - _xlogx(c_come))
-        return F.struct(s.alias("s"), F.when(over(s), F.coalesce(a["lo"], j)).otherwise(a["lo"]).alias("lo"), F.when(over(s), j).otherwise(a["hi"]).alias("hi"))
+        return F.struct(s.alias("s"), F.when(over(s, j), F.coalesce(a["lo"], j)).otherwise(a["lo"]).alias("lo"), F.when(over(s, j), j).otherwise(a["hi"]).alias("hi"))
 
     none = F.lit(None).cast("int")
     walked = F.aggregate(
         F.when(n > WIDTH, F.sequence(F.lit(1), F.greatest(n - WIDTH, F.lit(1)))).otherwise(F.array().cast("array<int>")),
-        F.struct(first.alias("s"), F.when(over(first), F.lit(0)).otherwise(none).alias("lo"), F.when(over(first), F.lit(0)).otherwise(none).alias("hi")),
+        F.struct(first.alias("s"), F.when(over(first, F.lit(0)), F.lit(0)).otherwise(none).alias("lo"), F.when(over(first, F.lit(0)), F.lit(0)).otherwise(none).alias("hi")),
         slide,
     )
     return F.when(walked["lo"].isNotNull(), F.struct((start + walked["lo"]).alias("start"), F.lit(3).alias("kind"), (start + walked["hi"] + WIDTH).alias("end")))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: tuple[str, ...] = (), keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: tuple[str, ...] = (), keep: tuple[str, ...] = (), prefix: str = "", own_class: bool = False) -> DataFrame:
     """id, ``keep`` columns, and, their names behind ``prefix``, n_assign, n_access, n_hex, and arrays ``base`` and ``spans`` of (start, kind, end), sorted.
 
     ``allowed`` adds regular expressions to the allow-list. Null text counts as empty and gives no
     span; ids may be null or repeat; empty tables give empty results; a candidate of any length is
     scanned whole.
+
+    With ``own_class`` each window is also judged by the class of its own characters. It only adds
+    spans; without it the spans are those of the SQL.
     """
     none = F.array().cast(_SPAN)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -113,7 +132,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowe
     skip = "|".join(f"(?:{p})" for p in (*ALLOWED, *allowed))
     found = F.filter(_located(F.col("_t"), CANDIDATE, 3), lambda s: ~s["m"].rlike(skip))
     frame = frame.withColumn("found", F.when(F.col("_t").rlike(CANDIDATE), found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,m:string>>")))
-    hits = F.filter(F.transform("found", lambda s: _entropy_span(s["start"], s["m"])), lambda e: e.isNotNull())
+    hits = F.filter(F.transform("found", lambda s: _entropy_span(s["start"], s["m"], own_class)), lambda e: e.isNotNull())
     hits = F.when(F.size("found") > 0, hits).otherwise(none)
     apart = F.filter(hits, lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
