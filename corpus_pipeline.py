@@ -44,7 +44,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Replaces every span of a secret by a mark; documents stay, null texts stay null."""
     rest = tuple(c for c in docs.columns if c != "doc_id")
     p = fresh_prefix(docs.columns)
-    found = secrets.scan(docs, keep=rest, prefix=p, own_class=True)
+    found = secrets.scan(docs, keep=rest, prefix=p, own_class=True, overlapping=True)
     clean = secrets.redacted(F.col("text"), F.col(f"{p}spans"))
     return found.withColumn("text", clean).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 

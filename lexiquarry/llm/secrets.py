@@ -112,15 +112,16 @@ def _entropy_span(start: Column, m: Column, own_class: bool) -> Column:
     return F.when(walked["lo"].isNotNull(), F.struct((start + walked["lo"]).alias("start"), F.lit(3).alias("kind"), (start + walked["hi"] + WIDTH).alias("end")))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: tuple[str, ...] = (), keep: tuple[str, ...] = (), prefix: str = "", own_class: bool = False) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: tuple[str, ...] = (), keep: tuple[str, ...] = (), prefix: str = "", own_class: bool = False, overlapping: bool = False) -> DataFrame:
     """id, ``keep`` columns, and, their names behind ``prefix``, n_assign, n_access, n_hex, and arrays ``base`` and ``spans`` of (start, kind, end), sorted.
 
     ``allowed`` adds regular expressions to the allow-list. Null text counts as empty and gives no
     span; ids may be null or repeat; empty tables give empty results; a candidate of any length is
     scanned whole.
 
-    With ``own_class`` each window is also judged by the class of its own characters. It only adds
-    spans; without it the spans are those of the SQL.
+    With ``own_class`` each window is also judged by the class of its own characters; with
+    ``overlapping`` entropy spans that meet base spans stay. Both only add spans; without them the
+    spans are those of the SQL.
     """
     none = F.array().cast(_SPAN)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -134,7 +135,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowe
     frame = frame.withColumn("found", F.when(F.col("_t").rlike(CANDIDATE), found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,m:string>>")))
     hits = F.filter(F.transform("found", lambda s: _entropy_span(s["start"], s["m"], own_class)), lambda e: e.isNotNull())
     hits = F.when(F.size("found") > 0, hits).otherwise(none)
-    apart = F.filter(hits, lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    apart = hits if overlapping else F.filter(hits, lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return frame.withColumn("spans", F.array_sort(F.concat("base", apart))).select(
         F.col("_id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[number(k).alias(f"{prefix}n_{KINDS[k]}") for k in range(3)], F.col("base").alias(f"{prefix}base"), F.col("spans").alias(f"{prefix}spans")

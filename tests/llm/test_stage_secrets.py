@@ -27,6 +27,15 @@ def test_marks_do_not_raise_the_cutoff(spark):
             assert sum(x[:12] in out[i] for i, x in enumerate(made)) <= 2
 
 
+def test_random_head_of_a_base_span_is_hidden(spark):
+    rng = random.Random(7)
+    heads = ["".join(rng.choice(MIXED) for _ in range(32)) for _ in range(40)]
+    tails = ["".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(40)]
+    out = hidden(spark, [f"x {a}-{b} y" for a, b in zip(heads, tails, strict=True)])
+    assert sum(out[i] == "x [SECRET] y" for i in range(40)) >= 36
+    assert not any(b in out[i] for i, b in enumerate(tails))
+
+
 def test_ordinary_candidates_stay(spark):
     texts = ["an_ordinary_name_of_words here", "verylongordinarywordwithoutdigits", "20240101-20240102-2024", "id 550e8400-e29b-41d4-a716-446655440000"]
     assert list(hidden(spark, texts).values()) == texts
