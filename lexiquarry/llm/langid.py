@@ -6,9 +6,9 @@ next phrase (a letter that the sample never has is a phrase of its own). The phr
 bits that name a place in the sample, over the document's length, estimates the cross entropy; the
 least one wins.
 
-The automaton is stored as a dense transition table whose failing entries already hold the restart
-state and the number of phrases that end there, so one look-up a letter suffices and many texts
-advance together. Whole texts are parsed; blocks of 1024 letters are parsed side by side, each from a
+The automaton is stored as a transition table (dense, or sorted for a large script) whose failing
+entries hold the restart state and the number of phrases that end there, so one look-up a letter
+suffices and many texts advance together. Whole texts are parsed; blocks of 1024 letters are parsed side by side, each from a
 fresh start.
 """
 
@@ -27,6 +27,8 @@ from . import textops as X
 BLOCK = 1024
 #: Bounds of the fitted sample: documents a language, letters a language, letters in all.
 SAMPLE_DOCS, SAMPLE_LETTERS, ALL_LETTERS = 64, 32768, 262144
+#: A language of more letters has sparse transitions.
+DENSE = 256
 _LETTERS: list[np.ndarray] = []
 _MODELS: dict = {}
 
@@ -57,8 +59,8 @@ def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return low[keep], np.concatenate(([0], np.cumsum(keep)))[at]
 
 
-def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Transition table, -1 where there is none."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state."""
     link, length, step = [-1], [0], [{}]
     last = 0
     for c in symbols:
@@ -84,15 +86,46 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    table = np.full((len(step), size), -1, np.int32)
-    for s, out in enumerate(step):
-        for c, t in out.items():
-            table[s, c] = t
-    return table
+    return step
+
+
+class Table:
+    """(state, column) -> next state * 4 + phrases that end: a mismatch ends one, and an unseen sign is one itself.
+
+    Dense up to ``DENSE`` columns, else the transitions sorted, so a large script costs no more memory than its sample.
+    """
+
+    def __init__(self, step: list[dict[int, int]], width: int):
+        self.width, self.dense = width, None
+        root = np.full(width, -1, np.int64)
+        root[list(step[0])] = list(step[0].values())
+        self.restart = np.where(root >= 0, root * 4 + 1, 2).astype(np.int32)
+        sizes = [len(out) for out in step]
+        state = np.repeat(np.arange(len(step), dtype=np.int64), sizes)
+        keys = state * width + np.fromiter((c for out in step for c in out), np.int64, sum(sizes))
+        values = np.fromiter((t for out in step for t in out.values()), np.int64, sum(sizes)) * 4
+        if width <= DENSE:
+            full = np.tile(self.restart, (len(step), 1))
+            full[0] = 1
+            self.dense = full.reshape(-1)
+            self.dense[keys] = values
+        else:
+            order = np.argsort(keys)
+            self.keys, self.values = keys[order], values[order].astype(np.int32)
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + column
+        if self.dense is not None:
+            return self.dense[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], np.where(state > 0, self.restart[column], 1))
 
 
 class Model:
-    """Automata of all languages over one alphabet: 0 other, 1 a letter outside the 200 most frequent ones."""
+    """Automata of all languages: 0 other, 1 a letter of no sample, and every letter of the samples a symbol of its own.
+
+    A table has columns for the letters of its own language only; those of others share its column 1, where nothing goes.
+    """
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
@@ -101,22 +134,20 @@ class Model:
         for lang in self.langs:
             raw = np.frombuffer(samples[lang].encode(), np.uint8)
             own.append(spelled(raw, np.array([0, len(raw)]))[0][:most])
-        seen, count = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint32), return_counts=True)
-        seen, count = seen[seen > 0], count[seen > 0]
-        top = np.sort(seen[np.argsort(-count, kind="stable")[:200]])
-        self.symbol = np.ones(0x110000, np.uint8)
+        seen = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint32))
+        seen = seen[seen > 0]  # at most ALL_LETTERS
+        self.symbol = np.ones(0x110000, np.int32)
         self.symbol[0] = 0
-        self.symbol[top] = np.arange(2, len(top) + 2)
-        self.size = len(top) + 2
-        self.tables, self.bits = [], []
+        self.symbol[seen] = np.arange(2, len(seen) + 2)
+        self.tables, self.bits, self.columns = [], [], []
         for text in own:
-            table = suffix_automaton(self.symbol[text].tolist(), self.size)
-            root = table[0]
-            # next state * 4 + phrases that end: a mismatch ends one, and an unseen sign is one itself
-            restart = np.where(root >= 0, root * 4 + 1, 2).astype(np.int32)
-            full = np.where(table >= 0, table * 4, restart[None, :])
-            full[0] = np.where(root >= 0, root * 4, 1)
-            self.tables.append(np.ascontiguousarray(full.reshape(-1)))
+            mine = np.unique(self.symbol[text])
+            mine = mine[mine > 0]
+            column = np.ones(len(seen) + 2, np.int32)
+            column[0] = 0
+            column[mine] = np.arange(2, len(mine) + 2)
+            self.columns.append(column)
+            self.tables.append(Table(suffix_automaton(column[self.symbol[text]].tolist()), len(mine) + 2))
             self.bits.append(np.log2(len(text) + 2))
 
     def phrases(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -136,9 +167,9 @@ class Model:
         total = [np.zeros(len(doc), np.int32) for _ in self.tables]
         for t in range(steps):
             n = live[t]
-            now = symbols[start[:n] + t].astype(np.int32)
+            now = symbols[start[:n] + t]
             for j, table in enumerate(self.tables):
-                v = table[state[j][:n] * self.size + now]
+                v = table.step(state[j][:n], self.columns[j][now])
                 state[j][:n] = v >> 2
                 total[j][:n] += v & 3
         for j in range(len(self.tables)):
