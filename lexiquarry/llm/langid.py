@@ -219,11 +219,13 @@ def _result(ids: pa.Array, n: np.ndarray, bits: np.ndarray, langs: list[str]) ->
 
 def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
     """Sample text per language: of ``usable`` rows, at most 64 documents a language (one for each of 64
-    hash slots, the least hash of its slot), and of each a stretch from its middle."""
+    hash slots, the least hash of its slot, texts of 20 characters or fewer only where a slot has no
+    longer one), and of each a stretch from its middle. Texts without a letter teach nothing."""
     each = SAMPLE_LETTERS // SAMPLE_DOCS * 4
     rows = docs.where(usable).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    least = rows.where(F.length("text") > 20).groupBy("lang", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min("h").alias("h"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    short = F.length("text") <= 20
+    least = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min(F.struct(short.alias("short"), "h"))["h"].alias("h"))
     chosen = {(r.lang, r.h) for r in least.collect()}  # at most 64 numbers a language
     if not chosen:
         return {}
