@@ -1,4 +1,4 @@
-"""Puts this package on the executors, so that their Python workers can import it wherever they run."""
+"""Puts this package on the executors, so that their Python workers can import it wherever they run, and bounds what they are sent at once."""
 
 from __future__ import annotations
 
@@ -9,11 +9,17 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _DONE: set[str] = set()
+#: Bounds of one Arrow batch: whole texts pass through Python, and by rows alone a batch could hold any number of bytes.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
 
 
 def ship(spark: SparkSession) -> None:
     """Once for each application: the package as a zip file, served by the driver."""
     sc = spark.sparkContext
+    known = spark.conf.getAll
+    for k, v in BATCH.items():
+        if k not in known:
+            spark.conf.set(k, v)
     if sc.applicationId in _DONE:
         return
     here = os.path.dirname(os.path.abspath(__file__))
