@@ -6,11 +6,16 @@ at most 11 coordinates have a chunk with at most one error; the allowed errors a
 leaving out each coordinate of a chunk in turn, so such a pair shares at least one of 24 keys of
 three coordinates. A pair at Jaccard similarity 0.85 misses all keys with probability 2e-6.
 
-Links are confirmed on the full shingle sets, read again from the texts. Equal sets are one node
-from the start. Groups are never expanded into all pairs: every member of a key's bucket is first
-compared with the bucket's least member; after two such rounds (the second with a member of the
-largest component found so far) only buckets that still hold different components compare members
-across components, and only pairs whose signatures agree in 11 coordinates are confirmed.
+Links are confirmed on the full shingle sets, fetched once from the texts of the documents that share a
+key with another. Equal sets are one node from the start. Groups are never expanded into all pairs:
+
+* A shingle that only one of those documents has can't be in an intersection. So the number of a
+  document's other shingles, ``common``, bounds its intersections, and documents and pairs that the
+  bound rules out are left out, exactly. Unrelated edits of one text are ruled out this way.
+* Every member of a key's bucket is compared with the bucket's hub, the member with the greatest share
+  of common shingles. Only buckets that still hold different components compare members across
+  components, each pair in the first key it shares, and only pairs whose signatures agree in 11
+  coordinates are confirmed.
 """
 
 from __future__ import annotations
@@ -31,8 +36,9 @@ LEAST_AGREE = 11
 _RNG = np.random.default_rng(85)
 _MULTIPLY = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
-S = [f"s{i}" for i in range(4)]
-SIGNED = "doc_id long, text_hash long, n_shingles long, fp binary, sig binary"
+Q = [f"q{i}" for i in range(COORDINATES // 2)]  # two coordinates each
+SIGNED = "doc_id long, text_hash long, n_shingles long, f0 long, f1 long, " + ", ".join(f"{q} long" for q in Q)
+_LOW, _HIGH = 0xFFFFFFFF, -(1 << 32)
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
@@ -43,48 +49,58 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return (X.mix(best) >> np.uint64(32)).astype("<u4")
 
 
-def fingerprint(grams: np.ndarray) -> bytes:
-    """128 bits that are equal for equal sets."""
-    return X.mix(grams).sum(dtype=np.uint64).tobytes() + X.mix(grams ^ X.BASES[1]).sum(dtype=np.uint64).tobytes()
+def fingerprint(grams: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers that are equal for equal sets."""
+    return np.array([X.mix(grams).sum(dtype=np.uint64), X.mix(grams ^ X.BASES[1]).sum(dtype=np.uint64)])
+
+
+def _longs(rows: list, width: int) -> list[pa.Array]:
+    """Columns of 64-bit numbers from rows of ``width`` numbers; null where a row is None."""
+    none = np.array([r is None for r in rows], bool)
+    table = np.array([np.zeros(width, np.uint64) if r is None else r for r in rows], np.uint64).reshape(len(rows), width).view(np.int64)
+    return [pa.array(np.ascontiguousarray(table[:, i]), mask=none) for i in range(width)]
 
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = X.text_bytes(batch.column(2))
-            for a, b in X.pieces(offsets, 2 << 20):
+            for a, b in X.pieces(offsets, 1 << 20):
                 sets = X.shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        batch.column(1).slice(a, b - a),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    ],
-                    names=["doc_id", "text_hash", "n_shingles", "fp", "sig"],
-                )
+                prints = [fingerprint(s) if len(s) else None for s in sets]
+                signs = [signature(s).view("<u8") if len(s) else None for s in sets]
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *_longs(prints, 2), *_longs(signs, len(Q))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "f0", "f1", *Q])
+        X.give_back()
 
     return run
 
 
 def _with_sets(k: int):
-    """(rep, fp, text) -> (fp, grams): only rows whose text has the set of that fingerprint (an id may have several texts)."""
+    """(nid, f0, f1, text) -> (nid, grams): only rows whose text has the set of that fingerprint (an id may have several texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = X.text_bytes(batch.column(1))
-            fps = batch.column(0).to_pylist()
-            for a, b in X.pieces(offsets, 2 << 20):
+            data, offsets = X.text_bytes(batch.column(3))
+            want = np.stack([batch.column(i).to_numpy().view(np.uint64) for i in (1, 2)], axis=1)
+            for a, b in X.pieces(offsets, 1 << 20):
                 sets = X.shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-                good = [i for i, s in enumerate(sets) if fingerprint(s) == fps[a + i]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([fps[a + i] for i in good], pa.binary()), pa.array([sets[i].tobytes() for i in good], pa.binary())], names=["fp", "grams"]
-                )
+                good = [i for i, s in enumerate(sets) if len(s) and (fingerprint(s) == want[a + i]).all()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(good, pa.int64())), pa.array([sets[i].tobytes() for i in good], pa.binary())], names=["nid", "grams"])
+        X.give_back()
 
     return run
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(nid, grams) -> (nid, gram), one row a shingle."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1).slice(i, 256)]
+            nids = np.repeat(batch.column(0).slice(i, 256).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(nids), pa.array(np.concatenate(sets))], names=["nid", "gram"])
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,6 +114,7 @@ def _confirm(percent: int):
                 keep.append(100 * same >= percent * (len(a) + len(b) - same))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+        X.give_back()
 
     return run
 
@@ -106,30 +123,35 @@ def _keys() -> Column:
     """The 24 keys: per chunk, each coordinate left out in turn."""
     out = []
     for c in range(COORDINATES // CHUNK):
-        for skip in range(CHUNK):
-            parts = [F.substring("sig", 4 * (c * CHUNK + i) + 1, 4) for i in range(CHUNK) if i != skip]
-            out.append(F.xxhash64(F.lit(c * CHUNK + skip), *parts))
+        left, right = F.col(Q[2 * c]), F.col(Q[2 * c + 1])
+        part = lambda x, mask: x.bitwiseAND(F.lit(mask))
+        for skip, pair in enumerate(((part(left, _HIGH), right), (part(left, _LOW), right), (left, part(right, _HIGH)), (left, part(right, _LOW)))):
+            out.append(F.xxhash64(F.lit(c * CHUNK + skip), *pair))
     return F.array(*out)
 
 
-PACKED = 4  # longs with the first bytes of 6 coordinates each
+def _equal(a: str, b: str) -> list[Column]:
+    """1 or 0 for each coordinate: whether two signatures agree in it."""
+    out = []
+    for i in range(len(Q)):
+        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
+        out += [(x.bitwiseAND(F.lit(_LOW)) == 0).cast("int"), (x.bitwiseAND(F.lit(_HIGH)) == 0).cast("int")]
+    return out
 
 
-def _agree(a: str, b: str) -> Column:
-    """Equal coordinates of two signatures, by their first bytes: zero bytes of the exclusive or."""
-    total = None
-    low = F.lit(0x7F7F7F7F7F7F)
-    for i in range(PACKED):
-        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
-        high = (x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseOR(low)
-        count = F.bit_count(F.bitwise_not(high).bitwiseAND(F.lit(0x808080808080)))
-        total = count if total is None else total + count
-    return total
+def _first_key(a: str, b: str) -> Column:
+    """The number of the first key that two signatures share."""
+    same, out = _equal(a, b), F.lit(-1)
+    for c in reversed(range(COORDINATES // CHUNK)):
+        e = same[c * CHUNK : c * CHUNK + CHUNK]
+        skip = (1 - e[1]) + (1 - e[2]) * 2 + (1 - e[3]) * 3  # 0 where all agree, else the one that doesn't
+        out = F.when(sum(e[1:], e[0]) >= CHUNK - 1, skip + c * CHUNK).otherwise(out)
+    return out
 
 
-def _short(prefix: str) -> list[Column]:
-    per = COORDINATES // PACKED
-    return [F.conv(F.concat(*[F.hex(F.substring("sig", 4 * (per * i + j) + 1, 1)) for j in range(per)]), 16, 10).cast("long").alias(f"{prefix}{i}") for i in range(PACKED)]
+def _agree(a: str, b: str) -> Column:
+    same = _equal(a, b)
+    return sum(same[1:], same[0])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 5) -> DataFrame:
@@ -141,68 +163,63 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     with nothing, have a null component_id and are kept. Equal texts always share a class. Empty
     tables give empty results; other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     signed = scratch.keep(plain.mapInArrow(_sign(k), SIGNED), "signed")
-    usable = signed.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
-    least = usable.groupBy("fp").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"))
-    nodes = scratch.keep(least.select("fp", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig")), "nodes")
-    keyed = nodes.select(F.explode(_keys()).alias("key"), F.col("fp"), "rep", "n", *_short("s"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "fp")).alias("lead")).where("c > 1")
-    buckets = scratch.keep(keyed.join(shared.select("key", "lead"), "key"), "buckets")
-    near = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
-
-    def starred(members: DataFrame, lead: Column) -> DataFrame:
-        """Pairs (a, b), a the bucket's lead, that sizes and signatures allow; a pair met in several buckets comes once."""
-        heads = nodes.select(F.col("fp").alias("a"), F.col("n").alias("m"), *_short("t"))
-        pairs = members.select(lead.alias("a"), F.col("fp").alias("b"), "n", *S).where(F.col("a") != F.col("b")).distinct()
-        return pairs.join(heads, "a").where(near & (_agree("s", "t") >= LEAST_AGREE)).select("a", "b")
-
-    def confirmed(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        pairs = scratch.keep(pairs, f"{name}-pairs")
-        wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(nodes.select("fp", "rep"), "fp")
-        found = plain.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("fp", "text").mapInArrow(_with_sets(k), "fp binary, grams binary").dropDuplicates(["fp"])
-        sets = scratch.keep(found, f"{name}-sets")
-        both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("ga")), "a")
-        links = scratch.keep(both.mapInArrow(_confirm(percent), "a binary, b binary"), f"{name}-links")
-        scratch.drop(f"{name}-sets")
-        return pairs, links
-
-    tried, links = confirmed(starred(buckets, F.col("lead.fp")), "star1")
-    # the second lead of a bucket: the member whose own component is largest so far, the first lead excepted
-    roots = scratch.keep(components(links, scratch, "c1"), "roots1")
-    placed = _placed(buckets, roots, scratch, "placed1")
-    weight = roots.groupBy("root").agg(F.count(F.lit(1)).alias("w"))
-    heavy = placed.where(F.col("fp") != F.col("lead.fp")).join(weight, "root", "left")
-    second = heavy.groupBy("key").agg(F.max(F.struct(F.coalesce("w", F.lit(1)).alias("w"), (-F.col("rep")).alias("r"), F.col("fp"))).alias("next"))
-    again = starred(placed.join(second, "key"), F.col("next.fp"))
-    again = again.join(tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    tried2, links2 = confirmed(again, "star2")
-    tried, links = tried.unionByName(tried2), links.unionByName(links2)
-    roots = scratch.keep(components(links, scratch, "c2"), "roots2")
-    placed = _placed(buckets, roots, scratch, "placed2")
-    left = placed.select("key", F.col("fp").alias("a"), F.col("root").alias("ra"), "n", *S)
-    right = placed.select(F.col("key").alias("key2"), F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(PACKED)])
-    across = left.join(right, (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & near & (_agree("s", "t") >= LEAST_AGREE))
-    across = across.select("a", "b").distinct()
-    across = across.join(tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    _, links3 = confirmed(across, "across")
-    links = links.unionByName(links3)
-    roots = components(links, scratch, "c3")
-    degree = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = nodes.select("fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = scratch.keep(rooted, "rooted")
+    usable = F.col("f0").isNotNull() & F.col("doc_id").isNotNull()
+    least = signed.where(usable).groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(q).alias(q) for q in Q])
+    nodes = scratch.keep(least.select(F.monotonically_increasing_id().alias("nid"), "*"), "nodes")
+    keyed = nodes.select(F.posexplode(_keys()).alias("ki", "key"), "nid")
+    shared = scratch.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "shared")
+    buckets = scratch.keep(keyed.join(shared, "key"), "buckets")
+    wanted = buckets.select("nid").distinct().join(nodes.select("nid", "rep", "f0", "f1"), "nid")
+    texts = plain.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("rep")).select("nid", "f0", "f1", "text")
+    sets = scratch.keep(texts.mapInArrow(_with_sets(k), "nid long, grams binary").dropDuplicates(["nid"]), "sets")
+    grams = sets.select("nid", "grams").mapInArrow(_grams, "nid long, gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("nid").alias("nid"))
+    single = grams.where("c = 1").groupBy("nid").agg(F.count(F.lit(1)).alias("own"))
+    common = sets.select("nid").join(nodes.select("nid", "n", *Q), "nid").join(single, "nid", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    able = scratch.keep(common.where(100 * F.col("common") >= percent * F.col("n")), "able")
+
+    def sides(pairs_of: DataFrame) -> DataFrame:
+        """(a, b) with the sizes and signatures of both, as far as the bounds allow a link."""
+        named = lambda side, n, s, q: able.select(F.col("nid").alias(side), F.col("n").alias(n), F.col("common").alias(s), *[F.col(x).alias(f"{q}{i}") for i, x in enumerate(Q)])
+        return pairs_of.join(named("a", "n", "s", "q"), "a").join(named("b", "m", "t", "p"), "b").where(bounds & (_agree("q", "p") >= LEAST_AGREE)).select("a", "b")
+
+    # an intersection is at most the lesser ``common``, a union at least both sizes less that
+    bounds = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * F.least("s", "t") >= percent * (F.col("n") + F.col("m")))
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(sets.select(F.col("nid").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("nid").alias("a"), F.col("grams").alias("ga")), "a")
+        return scratch.keep(both.mapInArrow(_confirm(percent), "a long, b long"), name)
+
+    share = F.col("common") / F.col("n")
+    live = scratch.keep(buckets.join(able.select("nid", share.alias("share")), "nid"), "live")
+    hubs = scratch.keep(live.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("share", (-F.col("nid")).alias("back")))["back"].alias("back")).where("c > 1").select("key", (-F.col("back")).alias("hub")), "hubs")
+    spokes = live.join(hubs, "key").where(F.col("nid") != F.col("hub")).select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct()
+    links = confirmed(sides(spokes), "links")
+    labels = scratch.keep(_labels(links), "labels")
+    placed = live.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("key", "ki", "nid", F.coalesce("label", "nid").alias("label"))
+    mixed = scratch.keep(placed.groupBy("key").agg(F.min("label").alias("r0"), F.max("label").alias("r1")).where(F.col("r0") != F.col("r1")).select("key"), "mixed")
+    members = scratch.keep(placed.join(mixed, "key").join(able, "nid").select("key", "ki", "nid", "label", "n", "common", *Q), "members")
+    left = members.select("key", "ki", F.col("nid").alias("a"), F.col("label").alias("ra"), "n", F.col("common").alias("s"), *Q)
+    right = members.select(F.col("key").alias("key2"), F.col("nid").alias("b"), F.col("label").alias("rb"), F.col("n").alias("m"), F.col("common").alias("t"), *[F.col(q).alias(f"p{i}") for i, q in enumerate(Q)])
+    across = left.join(right, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & bounds & (_agree("q", "p") >= LEAST_AGREE) & (F.col("ki") == _first_key("q", "p")))
+    links = links.unionByName(confirmed(across.select("a", "b"), "across"))
+    for name in ("sets", "members", "mixed", "hubs", "shared"):
+        scratch.drop(name)
+    roots = components(links, scratch, "c")
+    degree = links.select(F.col("a").alias("nid")).unionByName(links.select(F.col("b").alias("nid"))).groupBy("nid").agg(F.count(F.lit(1)).alias("n_links"))
+    rooted = scratch.keep(nodes.select("nid", "rep", "f0", "f1").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")), "rooted")
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = scratch.keep(rooted.join(names, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    shown = signed.select("doc_id", "text_hash", "n_shingles", "fp").where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).join(named, "fp").select("doc_id", "text_hash", "n_shingles", "component_id", "n_links")
-    alone = signed.where(F.col("fp").isNull() | F.col("doc_id").isNull()).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    named = scratch.keep(rooted.join(names, "root").join(degree, "nid", "left").select("f0", "f1", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    shown = signed.where(usable).select("doc_id", "text_hash", "n_shingles", "f0", "f1").join(named, ["f0", "f1"]).select("doc_id", "text_hash", "n_shingles", "component_id", "n_links")
+    alone = signed.where(~usable).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     every = shown.unionByName(alone)
     return every.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_links", "text_hash")
 
 
-def _placed(buckets: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Bucket rows with their components, of the buckets that still hold several."""
-    rooted = buckets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where(F.col("r0") != F.col("r1")).select("key")
-    return scratch.keep(rooted.join(mixed, "key", "left_semi"), name)
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label): the least node within two links. Nodes of one label are connected; connected nodes may differ in label."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
+    return both.join(near, F.col("b") == F.col("node")).groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))

@@ -8,6 +8,8 @@ by the batch (blocks of about a million bytes are hashed at a time), not by any
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,16 @@ _LOWER[65:91] += 32
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a Python worker that waits for its next task holds little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     h = h ^ (h >> U(30))
