@@ -9,7 +9,7 @@ least one wins.
 The automaton is stored as a transition table (dense, or sorted for a large script) whose failing
 entries hold the restart state and the number of phrases that end there, so one look-up a letter
 suffices and many texts advance together. Whole texts are parsed; blocks of 1024 letters are parsed side by side, each from a
-fresh start.
+fresh start, so a block border also ends a phrase (at most one phrase more in 1024 letters, for every language alike).
 """
 
 from __future__ import annotations
@@ -186,20 +186,25 @@ def model_of(samples: dict[str, str]) -> Model:
 
 
 def _predict(samples: dict[str, str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An Arrow function of a text column; a batch gives one struct a text."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = model_of(samples)
         for batch in batches:
-            data, offsets = X.text_bytes(batch.column(1))
-            for a, b in X.pieces(offsets, 6 << 20):
+            data, offsets = X.text_bytes(batch)
+            parts = []
+            for a, b in X.pieces(offsets, 2 << 20):
                 points, at = spelled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.diff(at)
                 bits = model.phrases(model.symbol[points], at) * np.array(model.bits) / np.maximum(n, 1)[:, None]
-                yield _result(batch.column(0).slice(a, b - a), n, bits, model.langs)
+                parts.append(_result(n, bits, model.langs))
+            yield pa.concat_arrays(parts) if parts else _result(np.zeros(0, np.int64), np.zeros((0, len(model.langs))), model.langs)
+        X.give_back()
 
     return run
 
 
-def _result(ids: pa.Array, n: np.ndarray, bits: np.ndarray, langs: list[str]) -> pa.RecordBatch:
+def _result(n: np.ndarray, bits: np.ndarray, langs: list[str]) -> pa.Array:
     known = (n > 0) & bool(langs)
     if langs:
         order = np.argsort(bits, axis=1, kind="stable")
@@ -211,10 +216,8 @@ def _result(ids: pa.Array, n: np.ndarray, bits: np.ndarray, langs: list[str]) ->
         names = np.array(langs, object)[order[:, 0]]
     else:
         best, score, names = np.zeros(len(n)), np.zeros(len(n)), np.full(len(n), "und", object)
-    return pa.RecordBatch.from_arrays(
-        [ids, pa.array(np.where(known, names, "und"), pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, best, 0.0))],
-        names=["doc_id", "lang_pred", "score", "bits"],
-    )
+    columns = [pa.array(np.where(known, names, "und"), pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, best, 0.0))]
+    return pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "bits"])
 
 
 def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
@@ -247,13 +250,14 @@ def identify(
     Null text, and text without a letter, is ``und`` with score 0; so is all text where nothing was
     learned. The score is second/(best + second) of the two least cross entropies, 1 with a single
     language; ties go to the language first by name. Repeated rows stay; ids may be null; empty tables
-    give empty results.
+    give empty results. Only the text is sent to Python, and only the result comes back; other columns
+    stay where they are.
     """
     ship(docs.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(F.struct(id_col, *keep).alias("_row")).schema["_row"].dataType.fields)
-    packed = docs.select(F.struct(id_col, *keep).alias("_row"), F.col(text_col).alias("_text"))
-    out = packed.mapInArrow(_predict(samples), f"doc_id struct<{fields.replace('` ', '`: ')}>, lang_pred string, score double, bits double")
-    return out.select("doc_id.*", *[F.col(c).alias(n) for c, n in zip(("lang_pred", "score", "bits"), names, strict=True)])
+    predict = F.arrow_udf(_predict(samples), "lang_pred string, score double, bits double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    rest = [F.col(c).alias(f"_k{i}") for i, c in enumerate((id_col, *keep))]
+    found = docs.select(*rest, predict(F.col(text_col)).alias("_found"))
+    return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate((id_col, *keep))], *[F.col(f"_found.{c}").alias(n) for c, n in zip(("lang_pred", "score", "bits"), names, strict=True)])
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
