@@ -34,9 +34,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     p = fresh_prefix(docs.columns)
     kept = neardup.classes(docs, percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}th")).distinct()
-    keyed = docs.withColumn(f"{p}h", F.xxhash64("text"))
+    # of the rows of one id and text, that with the least hash of all columns stays; rows equal in all of them are interchangeable
+    keyed = docs.withColumn(f"{p}h", F.xxhash64("text")).withColumn(f"{p}r", F.xxhash64(*docs.columns))
+    named = keyed.where(F.col("doc_id").isNotNull())
+    least = named.groupBy("doc_id", f"{p}h").agg(F.min(f"{p}r").alias(f"{p}m"))
     same = (F.col("doc_id") == F.col(f"{p}id")) & (F.col(f"{p}h") == F.col(f"{p}th"))
-    named = keyed.where(F.col("doc_id").isNotNull()).join(kept, same, "left_semi").dropDuplicates(["doc_id", f"{p}h"])
+    chosen = least.join(kept, same, "left_semi").select(F.col("doc_id").alias(f"{p}id"), F.col(f"{p}h").alias(f"{p}th"), f"{p}m")
+    named = named.join(chosen, same & (F.col(f"{p}r") == F.col(f"{p}m")), "left_semi").dropDuplicates(["doc_id", f"{p}h", f"{p}r"])
     return named.unionByName(keyed.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
