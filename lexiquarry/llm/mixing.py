@@ -4,8 +4,10 @@ Each source gets a target number of words. Its documents first get ``floor(rate)
 whole copies; the rest of the target is a fixed-size sample drawn without replacement: every
 document ranks by its random odds ``u/(1-u)`` divided by its inclusion odds ``p/(1-p)``, and the
 sample takes ranks until the words still missing are reached. Inclusion probabilities are
-``rate - floor(rate)`` times the document's relative ``weight`` (all 1 by default), so documents
-of different sources, and of different weights, are drawn with unequal probabilities.
+``rate - floor(rate)`` times the document's relative weight, which is the whole part of the square root
+of its words, or a column of the caller's. So longer documents are likelier drawn, and a document
+whose probability reaches 1 is certain. Default weights are whole numbers, so their sums, and with
+them the draw, do not depend on the order in which rows are added up.
 
 No source is sorted as a whole. The rank is a number in [0, 1); words are summed by a source's
 4096 rank cells, then by 4096 cells within the one cell where the target falls, and only the rows
@@ -84,9 +86,10 @@ def mix(
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
-    weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
-    own = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), null_key(F.col(source_col)).alias("key"), count_words(F.col(text_col)).alias("size"), weight.alias("weight")]
-    sized = scratch.keep(docs.select(*own), "sized")
+    given = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(None).cast("double")
+    own = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), null_key(F.col(source_col)).alias("key"), count_words(F.col(text_col)).alias("size"), given.alias("given")]
+    weighed = lambda frame: frame.withColumn("weight", F.coalesce("given", F.floor(F.sqrt("size")).cast("double"))).drop("given")
+    sized = scratch.keep(weighed(docs.select(*own)), "sized")
     totals = sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("_weighed"))
     plan = source_targets(totals, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -109,7 +112,7 @@ def mix(
     inside = ranked.join(edge1, "key").where(F.col("c1") == F.col("e1"))
     edge2 = scratch.keep(_edge(inside.groupBy("key", "c2").agg(F.sum("size").alias("words"), F.first("left1").alias("left1")), "c2", "left1", "e2", "left2"), "edge2")
     kept = [f"_k{i}" for i in range(len(keep))]
-    last = rank_all(docs.select(*own, *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])) if keep else ranked
+    last = rank_all(weighed(docs.select(*own, *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)]))) if keep else ranked
     placed = last.join(edge1, "key", "left").join(edge2, "key", "left")
     at_edge = (F.col("c1") == F.col("e1")) & (F.col("c2") == F.col("e2"))
     before = F.when(F.col("e1").isNull(), F.lit(True)).otherwise((F.col("c1") < F.col("e1")) | ((F.col("c1") == F.col("e1")) & (F.col("c2") < F.col("e2"))))

@@ -19,10 +19,13 @@ v AS (SELECT arg_min(level, (cap / w, source)) AS level FROM l WHERE level * w <
 t AS (SELECT l.source, l.source_size, CASE WHEN v.level IS NULL THEN l.cap ELSE least(l.cap, v.level * l.w) END AS target FROM l, v),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
 q AS (SELECT *, least(floor(rate + 1e-12), 2)::BIGINT AS whole FROM p),
+g AS (SELECT source, sum(size * floor(sqrt(size::DOUBLE)))::DOUBLE AS weighed FROM d GROUP BY source),
 k AS (SELECT d.doc_id, d.source, d.size, q.source_size, q.target, q.whole, q.target - q.whole * q.source_size AS missing,
+        least(CASE WHEN weighed > 0 THEN greatest(rate - q.whole, 0) * q.source_size / weighed ELSE 0 END * floor(sqrt(d.size::DOUBLE)), 1.0::DOUBLE) AS p,
         (('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':20'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM k),
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+e AS (SELECT *, CASE WHEN p >= 1 THEN 0.0::DOUBLE WHEN p <= 0 THEN 'infinity'::DOUBLE ELSE (u / (1 - u)) / (p / (1 - p)) END AS odds FROM k),
+o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM e),
 x AS (SELECT *, CASE WHEN missing > 0 THEN greatest(0, least(size, floor(missing + 1e-6)::BIGINT - before)) ELSE 0 END AS extra FROM o)
 SELECT doc_id, size, source_size, target,
   (CASE WHEN extra = size AND size > 0 THEN least(whole + 1, 2) ELSE whole END * size
