@@ -240,7 +240,7 @@ class Engine:
             out.append({"query": q, "matches": total, "mean": statistics.fmean(times), "min": times[0], "p50": times[len(times) // 2], "max": times[-1]})
         return out
 
-    # -- line protocol ------------------------------------------------------------
+    # line protocol
 
     def handle_line(self, line: str) -> list[str]:
         """Answers one JSON request line {id, method, params} with JSON lines; errors keep the id where it can be read."""

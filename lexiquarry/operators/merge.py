@@ -22,17 +22,18 @@ class MergePolicy:
 def plan_merges(segments, policy: MergePolicy = MergePolicy()) -> list[list]:
     """Groups of segments: each with too many deletions alone, then size tiers of enough members.
 
-    A segment's size counts by its live share. Segments over ``max_bytes`` are left alone in tiers.
+    Segments of over ``max_bytes`` in all, deletions included, are left alone. The tier of the others
+    goes by the live share of their size.
     """
     out, tiers = [], {}
     for s in segments:
+        if s.total_bytes > policy.max_bytes:
+            continue
         deleted = s.num_deleted / s.num_docs if s.num_docs else 0.0
         if deleted > policy.max_deleted:
             out.append([s])
             continue
-        size = s.total_bytes * (1 - deleted)
-        if size <= policy.max_bytes:
-            tiers.setdefault(int(math.log2(max(size, policy.floor_bytes))), []).append(s)
+        tiers.setdefault(int(math.log2(max(s.total_bytes * (1 - deleted), policy.floor_bytes))), []).append(s)
     for _, members in sorted(tiers.items()):
         if len(members) >= policy.min_members:
             chunks = [members[i : i + policy.max_members] for i in range(0, len(members), policy.max_members)]

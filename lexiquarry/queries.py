@@ -42,7 +42,7 @@ def rounded(found: DataFrame, *keys: str) -> DataFrame:
     return found.select(*(keys or ("doc_id",)), F.round("score", 6).alias("score"))
 
 
-# -- SQL --------------------------------------------------------------------------
+# SQL
 
 _ATOMS = r"'[\p{L}\p{M}\p{N}_]+'"
 
@@ -99,7 +99,7 @@ def _sql(query: str, name: str = "documents", where: str = "", out: str = "SELEC
     return f"WITH {match_sql(query, name, where)} {out}"
 
 
-# -- queries -----------------------------------------------------------------------
+# queries
 
 SEARCHES = {
     "search_term": "from",
@@ -358,11 +358,11 @@ def parse_queries(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("merge_plan", "SELECT * FROM (VALUES (0::BIGINT, 7::BIGINT), (1, 0), (1, 1), (1, 2), (1, 3)) AS t(merge_group, segment)")
 def merge_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Four small segments merge, one with many deletions is rewritten, the large one is left."""
+    """Four small segments merge, one with many deletions is rewritten, the large ones are left, with few deletions or many."""
     from .sources.store import Segment
 
     mib = 1 << 20
-    have = [Segment(str(i), i * 100, 100, 0, 0, mib) for i in range(4)] + [Segment("5", 500, 100, 0, 0, 600 * mib), Segment("6", 600, 100, 0, 30, 40 * mib), Segment("7", 700, 100, 0, 31, 40 * mib)]
+    have = [Segment(str(i), i * 100, 100, 0, 0, mib) for i in range(4)] + [Segment("5", 500, 100, 0, 0, 600 * mib), Segment("6", 600, 100, 0, 30, 40 * mib), Segment("7", 700, 100, 0, 31, 40 * mib), Segment("8", 800, 100, 0, 25, 600 * mib), Segment("9", 900, 100, 0, 60, 600 * mib)]
     rows = [(g, int(s.name)) for g, group in enumerate(merge.plan_merges(have)) for s in group]
     return spark.createDataFrame(rows, "merge_group long, segment long")
 

@@ -106,7 +106,7 @@ class Store:
         self.spark, self.folder, self.files = spark, folder, files or Files()
         self.pinned: dict[str, int] = {}
 
-    # -- manifest ---------------------------------------------------------------
+    # manifest
 
     @property
     def _file(self) -> str:
@@ -176,7 +176,7 @@ class Store:
             self.files.remove(os.path.join(self.folder, n))
         return gone
 
-    # -- reading ----------------------------------------------------------------
+    # reading
 
     def _path(self, name: str, table: str = "") -> str:
         return "file://" + os.path.join(os.path.abspath(self.folder), name, table)
@@ -226,7 +226,7 @@ class Store:
                 if not self.pinned[n]:
                     del self.pinned[n]
 
-    # -- writing ----------------------------------------------------------------
+    # writing
 
     def write_segment(self, source: DataFrame, base: int, buckets: int = 16) -> Segment | None:
         """``source``: doc_id (from ``base`` up), DOCS' columns but len, and text. Written, not yet named by a manifest."""
@@ -275,7 +275,7 @@ class Store:
             base = F.when((F.col("doc_id") >= s.base) & (F.col("doc_id") < s.base + s.num_docs), F.lit(s.base)).otherwise(base)
         return ids.withColumn("base", base)
 
-    # -- integrity --------------------------------------------------------------
+    # integrity
 
     def verify(self) -> list[str]:
         """What is wrong with the index; an empty list if nothing is."""
