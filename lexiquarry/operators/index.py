@@ -31,10 +31,19 @@ def tokens(source: DataFrame, id_col: str, text_col: str, terms: list[str] | Non
 
 
 def postings(source: DataFrame, id_col: str, text_col: str, terms: list[str] | None = None) -> DataFrame:
-    grouped = tokens(source, id_col, text_col, terms).groupBy("term", "doc_id").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+    """The texts are dealt by document first, so their many more tokens are grouped where they are."""
+    dealt = source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    # a term stands once at a place, so the list of places has no repeats
+    grouped = tokens(dealt, "doc_id", "text", terms).groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return grouped.select("term", "doc_id", F.size("positions").alias("tf"), "positions")
 
 
+def frequencies(source: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, term, tf: postings without places, counted where the document is."""
+    dealt = source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    return tokens(dealt, "doc_id", "text").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def with_ids(files: DataFrame, base: int = 0) -> DataFrame:
     """doc_id by path order from ``base`` up. Metadata only: one narrow row per file meets in one task."""
     return files.withColumn("doc_id", (F.row_number().over(W.orderBy("path")) - 1 + base).cast("long"))
@@ -78,7 +87,35 @@ def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.hash(term), F.lit(buckets))
 
 
+def bucket_of(term: str, buckets: int) -> int:
+    """The value of ``term_bucket`` for a known term: Murmur3 with seed 42, which takes what is over a multiple of four bytes as signed bytes one by one."""
+    data, h, full = term.encode(), 42, 0xFFFFFFFF
+
+    def mixed(h: int, k: int) -> int:
+        k = k * 0xCC9E2D51 & full
+        k = (k << 15 | k >> 17) & full
+        h ^= k * 0x1B873593 & full
+        h = (h << 13 | h >> 19) & full
+        return (h * 5 + 0xE6546B64) & full
+
+    whole = len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h = mixed(h, int.from_bytes(data[i : i + 4], "little"))
+    for x in data[whole:]:
+        h = mixed(h, (x - 256 if x > 127 else x) & full)
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & full
+    h = (h ^ h >> 13) * 0xC2B2AE35 & full
+    h ^= h >> 16
+    return (h - (1 << 32) if h >> 31 else h) % buckets
+
+
+def of_terms(stored: DataFrame, terms: list[str], buckets: int = 16) -> DataFrame:
+    """Postings of some terms; of a stored layout only their bucket folders are listed, and the terms reach the scan."""
+    if "bucket" in stored.columns:
+        stored = stored.where(F.col("bucket").isin(sorted({bucket_of(t, buckets) for t in terms})))
+    return stored.where(F.col("term").isin(terms))
+
+
 def lookup(stored: DataFrame, term: str, buckets: int = 16) -> DataFrame:
-    """One term's postings: prunes to its bucket folder, then pushes the term to the scan."""
-    bucket = stored.sparkSession.range(1).select(term_bucket(F.lit(term), buckets)).first()[0]
-    return stored.where((F.col("bucket") == bucket) & (F.col("term") == term))
+    return of_terms(stored, [term], buckets)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bm25
 from ..functions.phrase import phrase_tf
+from ..operators.index import of_terms
 from .parser import And, Node, Or, Phrase, Term, leaves, parse, phrase_terms
 
 DEFAULT_LIMIT = 20
@@ -78,11 +79,11 @@ def match_all(postings: DataFrame, docs: DataFrame, query: str | Node, stats: Da
     phrased = phrase_terms(node)
     columns = ["doc_id", "term", "tf", *(["positions"] if phrased else [])]
     live = docs.where(F.col("status") == "Indexed").select("doc_id", "len")
-    found = postings.where(F.col("term").isin(terms)).select(*columns).join(live, "doc_id")
-    df = found.agg(*[F.count_if(F.col("term") == t).alias(f"df{i}") for t, i in at.items()])
+    found = of_terms(postings, terms).select(*columns).join(live, "doc_id")
     wanted = [F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf{i}") for t, i in at.items()]
     wanted += [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"pos{at[t]}") for t in terms if t in phrased]
     rows = found.groupBy("doc_id", "len").agg(*wanted)
+    df = rows.agg(*[F.count(f"tf{i}").alias(f"df{i}") for i in at.values()])  # over the same exchange, so the scan runs once
     # one row each, by construction: aggregates without keys
     one = (stats if stats is not None else corpus_stats(docs)).join(F.broadcast(df))
     rows = rows.join(F.broadcast(one))
@@ -96,8 +97,8 @@ def page(every: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, keys: tu
     return (ranked.offset(offset) if offset else ranked).limit(limit)
 
 
-def search(postings: DataFrame, docs: DataFrame, query: str | Node, limit: int = DEFAULT_LIMIT, offset: int = 0) -> Result:
-    every = match_all(postings, docs, query)
+def search(postings: DataFrame, docs: DataFrame, query: str | Node, limit: int = DEFAULT_LIMIT, offset: int = 0, stats: DataFrame | None = None) -> Result:
+    every = match_all(postings, docs, query, stats)
     return Result(every, page(every, limit, offset))
 
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Root
 from .functions import text as T
 from .operators import doc_sets, merge, reconcile, snippet
 from .operators import index as I
 from .plans import search as Q
 from .plans.parser import And, Node, Or, Phrase, QueryError, Term, describe, leaves, parse
+from .sources.store import Manifest, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,7 +121,7 @@ QUERIES: dict[str, Query] = {name: (lambda q: lambda s, d: rounded(match(s, d, q
 ORACLES: dict[str, str] = {name: _sql(q) for name, q in SEARCHES.items()}
 
 for _name in ("pages", "conversations", "benchmark", "part"):
-    _q = {"pages": "the", "conversations": "the -of", "benchmark": "of", "part": "a OR part"}[_name]
+    _q = {"pages": "the", "conversations": "the -of", "benchmark": "of", "part": "steel OR red"}[_name]
     QUERIES[f"search_{_name}"] = (lambda q, n: lambda s, d: rounded(match(s, d, q, n)))(_q, _name)
     ORACLES[f"search_{_name}"] = _sql(_q, _name)
 
@@ -203,8 +206,7 @@ _DF = "SELECT term, count(DISTINCT doc_id) AS df, count(*)::BIGINT AS total_tf F
 @_add("term_dictionary", f"WITH {_corpus_sql()} {_DF}")
 def term_dictionary(spark: SparkSession, d: str) -> DataFrame:
     """Document frequencies need no positions: tokens are counted by document, then by term."""
-    counted = I.tokens(source(spark, d), "doc_id", "text").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    return I.dictionary(counted)
+    return I.dictionary(I.frequencies(source(spark, d), "doc_id", "text"))
 
 
 @_add("term_df_topk", f"WITH {_corpus_sql()} {_DF} ORDER BY df DESC, term LIMIT 50")
@@ -219,8 +221,7 @@ def term_df_topk(spark: SparkSession, d: str) -> DataFrame:
 )
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
     src = source(spark, d)
-    counted = I.tokens(src, "doc_id", "text").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    return I.index_stats(I.doc_table(src, "doc_id", "text"), counted).withColumn("avgdl", F.round("avgdl", 6))
+    return I.index_stats(I.doc_table(src, "doc_id", "text"), I.frequencies(src, "doc_id", "text")).withColumn("avgdl", F.round("avgdl", 6))
 
 
 @_add("phrase_join", f"WITH {_corpus_sql()} SELECT t0.doc_id, count(DISTINCT t0.pos) AS tf FROM tok t0 JOIN tok t1 ON t1.doc_id = t0.doc_id AND t1.pos = t0.pos + 1 AND t1.term = 'the' WHERE t0.term = 'of' GROUP BY t0.doc_id")
@@ -367,6 +368,96 @@ def merge_plan(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "merge_group long, segment long")
 
 
+def stored(spark: SparkSession, d: str, segments: int = 3) -> Root:
+    """The documents as a stored index of some segments, in the shared folder: docs and postings written, named by a manifest."""
+    root = Root(spark, shared_folder(spark))
+    files = _as_files(spark, d).join(source(spark, d), "doc_id")
+    low, high = files.agg(F.min("doc_id"), F.max("doc_id")).first()
+    bases = sorted({low + i * (high + 1 - low) // segments for i in range(segments)})
+    made = [root.store.write_segment(files.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)), a) for a, b in zip(bases, [*bases[1:], high + 1], strict=True)]
+    root.store.commit(Manifest(1, high + 1, 0, tuple(s for s in made if s)))
+    return root
+
+
+def _every(root: Root, query: str) -> DataFrame:
+    """All matches in a stored index, with their paths."""
+    return root.search(query).every.join(root.store.docs().select("doc_id", "path"), "doc_id")
+
+
+_PATHS = "JOIN f USING (doc_id)"
+_NO_ES = "WHERE lang <> 'es'"
+
+
+@_add("stored_search", _sql('"of the" from', out="SELECT doc_id, round(score, 6) AS score FROM found"))
+def stored_search(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stored(spark, d).search('"of the" from').every)
+
+
+@_add("stored_boolean", _sql('(from OR "of the") the -nicht', out="SELECT doc_id, round(score, 6) AS score FROM found"))
+def stored_boolean(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stored(spark, d, 5).search('(from OR "of the") the -nicht').every)
+
+
+@_add("stored_page", _sql("of the", out="SELECT doc_id, round(score, 6) AS score FROM found ORDER BY found.score DESC, doc_id LIMIT 10 OFFSET 20"))
+def stored_page(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stored(spark, d).search("of the", 10, 20).hits)
+
+
+@_add("stored_delete", _sql("from", where="WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
+def stored_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Tombstones leave the results and the statistics."""
+    root = stored(spark, d)
+    root.store.delete(spark.read.parquet(f"{d}/labels.parquet").where("toxic = 1").select("doc_id"))
+    return rounded(root.search("from").every)
+
+
+@_add("stored_overlay", f"WITH {_FILES}, {match_sql('nicht')} SELECT doc_id, CASE WHEN lang = 'de' THEN 'moved/' || path ELSE path END AS path, round(score, 6) AS score FROM found {_PATHS}")
+def stored_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """Moved files keep their ids and postings; only an overlay row is written."""
+    root = stored(spark, d)
+    moved = _as_files(spark, d).where("lang = 'de'").select("doc_id", F.concat(F.lit("moved/"), "path").alias("path"), "inode", "mtime_ns", "size")
+    m = root.store.manifest()
+    root.store.commit(replace(m, generation=2, overlay=root.store.write_overlay(moved)))
+    return rounded(_every(root, "nicht"), "doc_id", "path")
+
+
+def _merged(spark: SparkSession, d: str) -> Root:
+    """Five segments, all of one language deleted, merged to one."""
+    root = stored(spark, d, 5)
+    root.store.delete(_as_files(spark, d).where("lang = 'es'").select("doc_id"))
+    root.merge(merge.MergePolicy(max_deleted=0.9, min_members=2, floor_bytes=1 << 40, max_bytes=1 << 41))
+    return root
+
+
+@_add("stored_merge", f"WITH {_FILES}, {match_sql('of the', where=_NO_ES)} SELECT path, round(score, 6) AS score FROM found {_PATHS}")
+def stored_merge(spark: SparkSession, d: str) -> DataFrame:
+    """After a merge documents have new ids; paths, matches and scores are those of the survivors."""
+    return rounded(_every(_merged(spark, d), "of the"), "path")
+
+
+@_add(
+    "stored_stats",
+    f"WITH {_corpus_sql(where=_NO_ES)}, t AS ({_DF}) SELECT (SELECT count(*) FROM d) AS docs_total, (SELECT sum(len)::BIGINT FROM d) AS tokens, (SELECT count(*) FROM t) AS unique_terms, "
+    "(SELECT sum(df)::BIGINT FROM t) AS postings, 1::BIGINT AS segments, 3::BIGINT AS generation",
+)
+def stored_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of a merged index: nothing of deleted documents is left in it."""
+    s = _merged(spark, d).stats()
+    return spark.createDataFrame([(s["docs_total"], s["tokens"], s["unique_terms"], s["postings"], s["segments"], s["generation"])], "docs_total long, tokens long, unique_terms long, postings long, segments long, generation long")
+
+
+@_add(
+    "stored_verify",
+    f"WITH {_corpus_sql()} SELECT 3::BIGINT AS segments, (SELECT count(*) FROM d) AS docs, (SELECT count(*) FROM (SELECT DISTINCT term, doc_id FROM tok)) AS postings, 0::BIGINT AS problems",
+)
+def stored_verify(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest's counts against the tables, and the number of problems that verification finds."""
+    root = stored(spark, d)
+    m = root.store.manifest()
+    row = (len(m.segments), sum(s.num_docs - s.num_deleted for s in m.segments), sum(s.num_postings for s in m.segments), len(root.verify()))
+    return spark.createDataFrame([row], "segments long, docs long, postings long, problems long")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Boolean, phrase and negation in one ranked search."""
     return rounded(Q.page(match(spark, d, '(from OR "of the") the -nicht')))

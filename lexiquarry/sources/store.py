@@ -8,10 +8,13 @@ opened. A missing or broken manifest is no index; another format version is an e
 
 from __future__ import annotations
 
+import atexit
 import fcntl
 import json
 import os
+import re
 import shutil
+import tempfile
 import time
 import uuid
 from contextlib import contextmanager
@@ -47,6 +50,20 @@ class Corrupt(StoreError):
     pass
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder for an index below the one that driver and executors share; a temporary one where nothing is configured and all run in one process."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise StoreError("spark.checkpoint.dir names no folder that all executors share")
+    if named and not named.startswith(("file:", "/")):
+        raise StoreError(f"a store needs a mounted folder, not {named}")
+    top = re.sub("^file:/+", "/", named) if named else tempfile.mkdtemp(prefix="lexiquarry-")
+    folder = os.path.join(top, "lexiquarry", f"store-{uuid.uuid4().hex[:12]}")
+    os.makedirs(folder)
+    atexit.register(shutil.rmtree, folder if named else top, ignore_errors=True)
+    return folder
+
+
 @dataclass(frozen=True)
 class Segment:
     name: str
