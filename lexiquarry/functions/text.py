@@ -29,8 +29,10 @@ _PY_WORDY = regex.compile(r"(?V1)[\p{Alphabetic}\p{N}]")
 
 def atoms(text: Column) -> Column:
     """Array of atoms in their own case; null text has none."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ATOM), F.lit(0))
-    return F.filter(found, lambda a: a.rlike(WORDY))
+    text = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(text, F.lit(ATOM), F.lit(0))
+    # only these signs can make an atom without a letter or digit, so most texts need no look at each atom
+    return F.when(text.rlike(rf"[\p{{Pc}}{_ALONE}]"), F.filter(found, lambda a: a.rlike(WORDY))).otherwise(found)
 
 
 def parts(atom: Column) -> Column:

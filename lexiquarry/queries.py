@@ -28,8 +28,11 @@ CORPORA = {
 
 
 def source(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
+    """A table of texts. Where its files give fewer tasks than there are cores, its rows are dealt out; a large table stays as it is read."""
     key, text = CORPORA[name]
-    return spark.read.parquet(f"{d}/{name}.parquet").select(F.expr(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = spark.read.parquet(f"{d}/{name}.parquet").select(F.expr(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def match(spark: SparkSession, d: str, query: str, name: str = "documents", live: DataFrame | None = None) -> DataFrame:
