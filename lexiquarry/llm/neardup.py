@@ -183,7 +183,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     def sides(pairs_of: DataFrame) -> DataFrame:
         """(a, b) with the sizes and signatures of both, as far as the bounds allow a link."""
         named = lambda side, n, s, q: able.select(F.col("nid").alias(side), F.col("n").alias(n), F.col("common").alias(s), *[F.col(x).alias(f"{q}{i}") for i, x in enumerate(Q)])
-        return pairs_of.join(named("a", "n", "s", "q"), "a").join(named("b", "m", "t", "p"), "b").where(bounds & (_agree("q", "p") >= LEAST_AGREE)).select("a", "b")
+        return pairs_of.join(named("b", "m", "t", "p"), "b").join(named("a", "n", "s", "q"), "a").where(bounds & (_agree("q", "p") >= LEAST_AGREE)).select("a", "b")
 
     # an intersection is at most the lesser ``common``, a union at least both sizes less that
     bounds = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * F.least("s", "t") >= percent * (F.col("n") + F.col("m")))
