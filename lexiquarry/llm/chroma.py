@@ -38,6 +38,8 @@ FILTERS = (
 )
 WIDEST = max(f[3] for f in FILTERS)
 MOST_ERRORS, LEAST_INTS = 0.25, 8
+#: The bit map of the queries' integers has 2**24 slots, kept in parts of 4096 bytes.
+SLOT_BITS, PART = 24, 4096
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -113,28 +115,79 @@ def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(raw, pa.binary())], names=["doc_id", "ints"])
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, ints) -> (key, rid, place): one row an integer, by blocks."""
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+
+
+def _entries(asked: bytes | None):
+    """(rid, ints) -> (key, rid, place): one row an integer, by blocks; with ``asked``, without integers whose bit in that map is not set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if asked is None else np.frombuffer(asked, np.uint8)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(1)
+            ints = [np.frombuffer(x.as_buffer(), "<i4") for x in column]
+            sizes = np.array([len(x) for x in ints], np.int64)
+            ends = np.cumsum(sizes)
+            keys = np.concatenate(ints)
+            rids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+            places = np.arange(len(keys)) - np.repeat(ends - sizes, sizes)
+            if bits is not None:
+                slot = _slot(keys)
+                wanted = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                keys, rids, places = keys[wanted], rids[wanted], places[wanted]
+            for i in range(0, len(keys), 1 << 17):
+                cols = [pa.array(keys[i : i + (1 << 17)], pa.int32()), pa.array(rids[i : i + (1 << 17)], pa.int64()), pa.array(places[i : i + (1 << 17)], pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "rid", "place"])
+        X.give_back()
+
+    return run
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ints) -> (part, bits): the slots of all integers of a partition, as the parts of a bit map that are not empty."""
+    bits = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(1)
-        ints = [np.frombuffer(x.as_buffer(), "<i4") for x in column]
-        sizes = np.array([len(x) for x in ints], np.int64)
-        ends = np.cumsum(sizes)
-        keys = np.concatenate(ints)
-        rids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
-        places = np.arange(len(keys)) - np.repeat(ends - sizes, sizes)
-        for i in range(0, len(keys), 1 << 17):
-            cols = [pa.array(keys[i : i + (1 << 17)], pa.int32()), pa.array(rids[i : i + (1 << 17)], pa.int64()), pa.array(places[i : i + (1 << 17)], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "rid", "place"])
+        for x in batch.column(0):
+            slot = _slot(np.frombuffer(x.as_buffer(), "<i4"))
+            np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+    parts = bits.reshape(-1, PART)
+    full = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([parts[i].tobytes() for i in full], pa.binary())], names=["part", "bits"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, bits) -> the same with one row a part, of those that meet here."""
+    seen: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            now = np.frombuffer(bits.as_buffer(), np.uint8)
+            seen[part] = now | seen[part] if part in seen else now
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], names=["part", "bits"])
+
+
+def _asked_bits(asked: DataFrame) -> bytes:
+    """A bit map of the slots of all integers that queries have: 2**SLOT_BITS bits (2 MB), however many there are."""
+    marks = asked.select("ints").mapInArrow(_marks, "part long, bits binary")
+    rows = marks.repartition("part").mapInArrow(_joined, "part long, bits binary").collect()
+    out = np.zeros((1 << (SLOT_BITS - 3)) // PART * PART, np.uint8).reshape(-1, PART)
+    for r in rows:
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """(q, c) by rid: an asked class and another that share an integer, whose winning offset leaves overlap enough."""
-    index = lambda frame: frame.select("rid", "ints").mapInArrow(_entries, "key int, rid long, place int")
-    asked = index(classes.where("asked")).select("key", F.col("rid").alias("q"), F.col("place").alias("at"))
-    met = index(classes).join(asked, "key").where(F.col("rid") != F.col("q"))
+    """(q, c) by rid: an asked class and another that share an integer, whose winning offset leaves overlap enough.
+
+    Integers that no query has are left out before the join by a bit map of fixed size; what the map lets
+    through in error, the join drops.
+    """
+    index = lambda frame, bits: frame.select("rid", "ints").mapInArrow(_entries(bits), "key int, rid long, place int")
+    queries = classes.where("asked")
+    asked = index(queries, None).select("key", F.col("rid").alias("q"), F.col("place").alias("at"))
+    met = index(classes, _asked_bits(queries)).join(asked, "key").where(F.col("rid") != F.col("q"))
     votes = met.groupBy("q", F.col("rid").alias("c"), (F.col("place") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
     won = votes.groupBy("q", "c").agg((-F.max(F.struct("votes", (-F.col("offset")).alias("back")))["back"]).alias("offset"))  # the least of equally voted ones, as in align
     sizes = lambda name, n: classes.select(F.col("rid").alias(name), (F.octet_length("ints") / 4).cast("long").alias(n))
