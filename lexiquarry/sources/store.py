@@ -53,7 +53,7 @@ class Corrupt(StoreError):
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder for an index below the one that driver and executors share; a temporary one where nothing is configured and all run in one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named is None and not spark.sparkContext.master.startswith("local"):
+    if named is None and spark.sparkContext.master.split("[")[0] != "local":
         raise StoreError("spark.checkpoint.dir names no folder that all executors share")
     if named and not named.startswith(("file:", "/")):
         raise StoreError(f"a store needs a mounted folder, not {named}")
