@@ -60,10 +60,12 @@ def null_key(column: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all run in one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     key = id(spark.sparkContext)
     if key not in _OWN_DIR:
         _OWN_DIR[key] = "file://" + tempfile.mkdtemp(prefix="lexiquarry-")
