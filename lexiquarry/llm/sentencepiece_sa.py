@@ -32,8 +32,8 @@ from . import textops as X
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _MARK = MARK.encode()
-#: Encoded segments a worker remembers, and bytes of text handled at a time.
-REMEMBER, CHUNK = 200_000, 6 << 20
+#: Encoded segments a worker remembers, bytes of text handled at a time, and bytes of new segments indexed at a time.
+REMEMBER, CHUNK, PART = 200_000, 1 << 20, 1 << 17
 _LOADED: dict[bytes, Model] = {}
 _NEVER = np.iinfo(np.int64).max
 
@@ -324,8 +324,8 @@ def encode_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
         if len(memory) + len(new) > REMEMBER:
             memory.clear()
             new = words
-        for i in range(0, len(new), 100_000):
-            part = new[i : i + 100_000]
+        for i, j in X.pieces(np.concatenate(([0], np.cumsum([len(w) + 1 for w in new]))), PART):
+            part = new[i:j]
             ids, counts = model.encode_segments([w.replace(b" ", _MARK) for w in part])
             raw, ends = ids.astype(np.int32).tobytes(), (np.cumsum(counts) * 4).tolist()
             for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True):
@@ -351,6 +351,7 @@ def _encode(raw: bytes):
                 ids, counts = encode_texts(model, texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), lists], names=["_row", "n_tokens", "ids"])
+        X.give_back()
 
     return run
 
