@@ -7,10 +7,12 @@ give equal sums wherever they stand); each difference is quantised to two Gray-c
 pairs are one 32-bit integer a frame.
 
 Two recordings align at the offset that most of their equal integers vote for; the bit errors of the
-overlap at that offset tell a match from chance. Equal fingerprints are one class. Candidates come
-from an inverted index of all integers: every query and recording with an integer in common, whose
-votes are summed by offset before any fingerprint is moved; those whose winning offset overlaps too
-little are left out. Nothing that alignment would accept is missed.
+overlap at that offset tell a match from chance. Equal fingerprints are one class. Classes are packed
+into blocks of about a million integers, and every block meets every block of the queries, in one
+task and without an exchange: an inverted index of the queries' integers gives all equal integers,
+their votes are summed by pair and offset, and the winning offset of each pair is aligned at once.
+Nothing that alignment would accept is missed, and only what it accepts leaves a task, so the search
+shuffles and stores nothing that grows faster than its result.
 """
 
 from __future__ import annotations
@@ -38,8 +40,12 @@ FILTERS = (
 )
 WIDEST = max(f[3] for f in FILTERS)
 MOST_ERRORS, LEAST_INTS = 0.25, 8
-#: The bit map of the queries' integers has 2**24 slots, kept in parts of 4096 bytes.
-SLOT_BITS, PART = 24, 4096
+#: The bit map of a query block's integers has 2**24 slots.
+SLOT_BITS = 24
+#: Integers of a block (or one longer recording), and equal integers looked at together.
+PACK, HITS = 1 << 20, 1 << 20
+#: Blocks are rows of some megabytes: files are cut by their bytes at every row, not by a count of rows.
+PACK_FILES = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -119,81 +125,172 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
 
 
-def _entries(asked: bytes | None):
-    """(rid, ints) -> (key, rid, place): one row an integer, by blocks; with ``asked``, without integers whose bit in that map is not set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if asked is None else np.frombuffer(asked, np.uint8)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column(1)
-            ints = [np.frombuffer(x.as_buffer(), "<i4") for x in column]
-            sizes = np.array([len(x) for x in ints], np.int64)
-            ends = np.cumsum(sizes)
-            keys = np.concatenate(ints)
-            rids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
-            places = np.arange(len(keys)) - np.repeat(ends - sizes, sizes)
-            if bits is not None:
-                slot = _slot(keys)
-                wanted = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                keys, rids, places = keys[wanted], rids[wanted], places[wanted]
-            for i in range(0, len(keys), 1 << 17):
-                cols = [pa.array(keys[i : i + (1 << 17)], pa.int32()), pa.array(rids[i : i + (1 << 17)], pa.int64()), pa.array(places[i : i + (1 << 17)], pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "rid", "place"])
-        X.give_back()
-
-    return run
-
-
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ints) -> (part, bits): the slots of all integers of a partition, as the parts of a bit map that are not empty."""
-    bits = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
-    for batch in batches:
-        for x in batch.column(0):
-            slot = _slot(np.frombuffer(x.as_buffer(), "<i4"))
-            np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    parts = bits.reshape(-1, PART)
-    full = np.flatnonzero(parts.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([parts[i].tobytes() for i in full], pa.binary())], names=["part", "bits"])
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, ints) -> (names, sizes, ints): recordings one after another in blocks of up to ``PACK`` integers; one longer is a block of its own."""
+    names, ints, total = [], [], 0
 
+    def block() -> pa.RecordBatch:
+        sizes = np.array([len(x) // 4 for x in ints], "<i4").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (b"".join(names), sizes, b"".join(ints))], names=["names", "sizes", "ints"])
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, bits) -> the same with one row a part, of those that meet here."""
-    seen: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            now = np.frombuffer(bits.as_buffer(), np.uint8)
-            seen[part] = now | seen[part] if part in seen else now
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], names=["part", "bits"])
+        for name, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if ints and total + len(x) // 4 > PACK:
+                yield block()
+                names, ints, total = [], [], 0
+            names.append(name)
+            ints.append(x)
+            total += len(x) // 4
+    if ints:
+        yield block()
+
+
+class Block:
+    """Recordings one after another: their integers, where each one's begin, and an inverted index, made when first asked for."""
+
+    def __init__(self, ints: np.ndarray, at: np.ndarray):
+        self.ints, self.at, self.bits = ints, at, None
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def part(self, a: int, b: int) -> Block:
+        return Block(self.ints[self.at[a] : self.at[b]], self.at[a : b + 1] - self.at[a])
+
+    def index(self) -> None:
+        if self.bits is None:
+            slots = np.zeros(1 << SLOT_BITS, bool)
+            slots[_slot(self.ints)] = True
+            self.bits = np.packbits(slots, bitorder="little")
+            self.order = np.argsort(self.ints, kind="stable")
+            self.ranked = self.ints[self.order]
+            self.owner = np.repeat(np.arange(len(self)), np.diff(self.at))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ``keys`` of integers that stand here, and of each where in ``order`` they begin and how many there are."""
+        self.index()
+        slot = _slot(keys)
+        place = np.flatnonzero((self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+        low = np.searchsorted(self.ranked, keys[place], "left")
+        same = self.ranked[np.minimum(low, len(self.ranked) - 1)] == keys[place]
+        place, low = place[same], low[same]
+        return place, low, np.searchsorted(self.ranked, keys[place], "right") - low
 
 
-def _asked_bits(asked: DataFrame) -> bytes:
-    """A bit map of the slots of all integers that queries have: 2**SLOT_BITS bits (2 MB), however many there are."""
-    marks = asked.select("ints").mapInArrow(_marks, "part long, bits binary")
-    rows = marks.repartition("part").mapInArrow(_joined, "part long, bits binary").collect()
-    out = np.zeros((1 << (SLOT_BITS - 3)) // PART * PART, np.uint8).reshape(-1, PART)
-    for r in rows:
-        out[r.part] = np.frombuffer(r.bits, np.uint8)
-    return out.tobytes()
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1])))
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(q, c) by rid: an asked class and another that share an integer, whose winning offset leaves overlap enough.
+def _from_to(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, ``many`` numbers each."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
 
-    Integers that no query has are left out before the join by a bit map of fixed size; what the map lets
-    through in error, the join drops.
+
+def search(qs: Block, cs: Block) -> np.ndarray:
+    """Rows (q, c, offset, votes, bit errors, overlap) of all pairs that align, by place in the blocks; equal recordings are left out.
+
+    At most ``HITS`` equal integers are held at once; a recording with more is searched in halves of the queries, at last pair by pair.
     """
-    index = lambda frame, bits: frame.select("rid", "ints").mapInArrow(_entries(bits), "key int, rid long, place int")
-    queries = classes.where("asked")
-    asked = index(queries, None).select("key", F.col("rid").alias("q"), F.col("place").alias("at"))
-    met = index(classes, _asked_bits(queries)).join(asked, "key").where(F.col("rid") != F.col("q"))
-    votes = met.groupBy("q", F.col("rid").alias("c"), (F.col("place") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    won = votes.groupBy("q", "c").agg((-F.max(F.struct("votes", (-F.col("offset")).alias("back")))["back"]).alias("offset"))  # the least of equally voted ones, as in align
-    sizes = lambda name, n: classes.select(F.col("rid").alias(name), (F.octet_length("ints") / 4).cast("long").alias(n))
-    sized = won.join(sizes("q", "nq"), "q").join(sizes("c", "nc"), "c")
-    overlap = F.least(F.col("nq"), F.col("nc") - F.col("offset")) - F.greatest(F.lit(0), -F.col("offset"))
-    return sized.where((overlap >= LEAST_INTS) & (2 * overlap >= F.least("nq", "nc"))).select("q", "c")
+    out = [np.zeros((0, 6), np.int64)]
+    if not len(qs.ints) or not len(cs.ints):
+        return out[0]
+    place, low, many = qs.find(cs.ints)
+    hits = np.concatenate(([0], np.cumsum(many)))
+    begin = np.searchsorted(place, cs.at)
+    for a, b in X.pieces(hits[begin], HITS):
+        i, j = begin[a], begin[b]
+        if hits[j] - hits[i] <= HITS:
+            if j > i:
+                out.append(_matched(qs, cs, _won(qs, cs, place[i:j], low[i:j], many[i:j])))
+        elif len(qs) == 1:
+            offset, votes, _, _ = align(qs.ints, cs.ints[cs.at[a] : cs.at[b]])
+            out.append(_matched(qs, cs, np.array([[0, a, offset, votes]], np.int64)))
+        else:
+            half = len(qs) // 2
+            for x, y in ((0, half), (half, len(qs))):
+                found = search(qs.part(x, y), cs.part(a, b))
+                found[:, :2] += (x, a)
+                out.append(found)
+    return np.concatenate(out)
+
+
+def _won(qs: Block, cs: Block, place: np.ndarray, low: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Rows (q, c, offset, votes): of each pair with an equal integer the offset of most votes, of equally voted ones the least, as in align."""
+    here = qs.order[_from_to(low, many)]
+    there = np.repeat(place, many)
+    q, c = qs.owner[here], np.searchsorted(cs.at, there, "right") - 1
+    offset = (there - cs.at[c]) - (here - qs.at[q])
+    back = int(np.diff(qs.at).max())
+    span = back + int(np.diff(cs.at).max()) + 1
+    code = (c * len(qs) + q) * span + (offset + back)
+    code.sort()
+    first = _heads(code)
+    votes = np.diff(np.append(first, len(code)))
+    code = code[first]
+    pair = code // span
+    heads = _heads(pair)
+    most = np.repeat(np.maximum.reduceat(votes, heads), np.diff(np.append(heads, len(pair))))
+    win = np.flatnonzero(votes == most)
+    win = win[_heads(pair[win])]
+    return np.stack((pair[win] % len(qs), pair[win] // len(qs), code[win] % span - back, votes[win]), axis=1)
+
+
+def _matched(qs: Block, cs: Block, won: np.ndarray) -> np.ndarray:
+    """Those rows whose overlap is long enough and has few bit errors, with both numbers; equal recordings are left out."""
+    q, c, offset = won[:, 0], won[:, 1], won[:, 2]
+    nq, nc = np.diff(qs.at)[q], np.diff(cs.at)[c]
+    start = np.maximum(0, -offset)
+    n = np.minimum(nq, nc - offset) - start
+    fits = np.flatnonzero((n >= LEAST_INTS) & (2 * n >= np.minimum(nq, nc)))
+    won, q, c, offset, nq, nc, start, n = (x[fits] for x in (won, q, c, offset, nq, nc, start, n))
+    errors = np.zeros(len(n), np.int64)
+    for a, b in X.pieces(np.concatenate(([0], np.cumsum(n))), HITS):
+        here, there = qs.at[q[a:b]] + start[a:b], cs.at[c[a:b]] + start[a:b] + offset[a:b]
+        bits = np.bitwise_count(qs.ints[_from_to(here, n[a:b])] ^ cs.ints[_from_to(there, n[a:b])]).astype(np.int64)
+        errors[a:b] = np.add.reduceat(bits, np.cumsum(n[a:b]) - n[a:b])
+    good = (errors <= MOST_ERRORS * 32 * n) & ~((errors == 0) & (n == nq) & (n == nc))
+    return np.concatenate((won, errors[:, None], n[:, None]), axis=1)[good]
+
+
+def _block(row: dict, side: str) -> Block:
+    sizes = np.frombuffer(row[f"{side}_sizes"], "<i4")
+    return Block(np.frombuffer(row[f"{side}_ints"], "<u4"), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block of classes and a block of queries -> the pairs of recordings that align."""
+    known: dict[int, Block] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+            if row["q_block"] not in known:
+                if len(known) > 2:
+                    known.clear()
+                known[row["q_block"]] = _block(row, "q")
+            found = search(known[row["q_block"]], _block(row, "c"))
+            fps = [row["q_names"][16 * k : 16 * k + 16] for k in found[:, 0].tolist()]
+            ids = np.frombuffer(row["c_names"], ">i8")[found[:, 1]].astype(np.int64)
+            for a in range(0, len(found), 1 << 15):
+                b = a + (1 << 15)
+                cols = [pa.array(fps[a:b], pa.binary()), pa.array(ids[a:b]), *(pa.array(np.ascontiguousarray(found[a:b, j])) for j in range(2, 6))]
+                yield pa.RecordBatch.from_arrays(cols, names=["fp", "class_id", "offset", "votes", "bit_errors", "overlap"])
+    known.clear()
+    X.give_back()
+
+
+def _pairs(scratch: Scratch, classes: DataFrame) -> DataFrame:
+    """(fp, class_id, offset, votes, bit_errors, overlap): an asked class's fingerprint and another class that aligns with it."""
+    block = lambda frame, name, side: scratch.keep(
+        frame.mapInArrow(_pack, "names binary, sizes binary, ints binary").select(F.monotonically_increasing_id().alias(f"{side}_block"), *[F.col(c).alias(f"{side}_{c}") for c in ("names", "sizes", "ints")]), name, PACK_FILES
+    )
+    asked = classes.where("asked").select("fp", "ints")
+    ints = asked.agg(F.sum(F.octet_length("ints") / 4)).first()[0] or 0
+    queries = block(asked.repartition(int(ints // PACK) + 1), "queries", "q")
+    # the eight bytes of a long, highest first
+    blocks = block(classes.select(F.unhex(F.lpad(F.hex("class_id"), 16, "0")), "ints"), "blocks", "c").drop("c_block")
+    met = blocks.crossJoin(queries).mapInArrow(_meet, "fp binary, class_id long, offset long, votes long, bit_errors long, overlap long")
+    return scratch.keep(met, "found")
 
 
 def align(q: np.ndarray, c: np.ndarray) -> tuple[int, int, int, int]:
@@ -201,31 +298,19 @@ def align(q: np.ndarray, c: np.ndarray) -> tuple[int, int, int, int]:
     order = np.argsort(c, kind="stable")
     ranked = c[order]
     lo, hi = np.searchsorted(ranked, q, "left"), np.searchsorted(ranked, q, "right")
-    many = hi - lo
-    where = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    offset = order[where] - np.repeat(np.arange(len(q)), many)
-    if not len(offset):
+    ends = np.concatenate(([0], np.cumsum(hi - lo)))
+    if not ends[-1]:
         return 0, 0, 0, 0
-    votes = np.bincount(offset + len(q))
+    votes = np.zeros(len(q) + len(c), np.int64)
+    for a, b in X.pieces(ends, HITS):
+        many = (hi - lo)[a:b]
+        offset = order[_from_to(lo[a:b], many)] - np.repeat(np.arange(a, b), many)
+        votes += np.bincount(offset + len(q), minlength=len(votes))
     best = int(np.argmax(votes)) - len(q)
     a, b = max(0, -best), min(len(q), len(c) - best)
     return best, int(votes.max()), int(np.bitwise_count(q[a:b] ^ c[a + best : b + best]).sum()), b - a
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        left, right = batch.column("qi"), batch.column("ci")
-        for i in range(batch.num_rows):
-            q, c = np.frombuffer(left[i].as_buffer(), "<u4"), np.frombuffer(right[i].as_buffer(), "<u4")
-            offset, votes, errors, n = align(q, c)
-            if n >= max(LEAST_INTS, min(len(q), len(c)) / 2) and errors <= MOST_ERRORS * 32 * n:
-                rows.append((i, offset, votes, errors, n))
-        pick = pa.array([r[0] for r in rows], pa.int64())
-        cols = [pa.array([r[j] for r in rows], pa.int64()) for j in range(1, 5)]
-        yield pa.RecordBatch.from_arrays([batch.column("q").take(pick), batch.column("c").take(pick), *cols], names=["q", "c", "offset", "votes", "bit_errors", "overlap"])
-
-
 def match_recordings(media: DataFrame, queries, id_col: str = "doc_id", media_col: str = "text") -> DataFrame:
     """One row per input row: id, n_ints, class_id (least id of rows with the same fingerprint),
     is_query, n_matches, matches (for queries: an array of other classes by id with offset, votes,
@@ -242,13 +327,10 @@ def match_recordings(media: DataFrame, queries, id_col: str = "doc_id", media_co
     is_query = queries(F.col("doc_id"))
     usable = printed.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     classes = usable.groupBy("fp").agg(F.min(F.struct("doc_id", "ints")).alias("m"), F.max(is_query.cast("int")).alias("asked"))
-    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("rid"), "fp", F.col("m.doc_id").alias("class_id"), F.col("m.ints").alias("ints"), (F.col("asked") == 1).alias("asked")), "classes")
-    pairs = scratch.keep(_candidates(classes), "pairs")
-    both = pairs.join(classes.select(F.col("rid").alias("q"), F.col("ints").alias("qi")), "q").join(classes.select(F.col("rid").alias("c"), F.col("ints").alias("ci")), "c")
-    found = scratch.keep(both.mapInArrow(_verify, "q long, c long, offset long, votes long, bit_errors long, overlap long"), "found")
-    shown_c = found.join(classes.select(F.col("rid").alias("c"), "class_id"), "c")
-    lists = shown_c.groupBy(F.col("q").alias("rid")).agg(F.sort_array(F.collect_list(F.struct("class_id", "offset", "votes", "bit_errors", "overlap"))).alias("matches"))
-    named = classes.select("rid", "fp", "class_id").join(lists, "rid", "left").drop("rid")
+    classes = scratch.keep(classes.select("fp", F.col("m.doc_id").alias("class_id"), F.col("m.ints").alias("ints"), (F.col("asked") == 1).alias("asked")), "classes")
+    lists = _pairs(scratch, classes).groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("class_id", "offset", "votes", "bit_errors", "overlap"))).alias("matches"))
+    # written, so that the join to the rows has exchanges of its own, which can be split where many rows are copies
+    named = scratch.keep(classes.select("fp", "class_id").join(lists, "fp", "left"), "named")
     n_ints = F.coalesce(F.octet_length("ints") / 4, F.lit(0)).cast("long")
     shown = printed.select("doc_id", n_ints.alias("n_ints"), F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(named, "fp", "left")
     ask = F.coalesce(is_query, F.lit(False))

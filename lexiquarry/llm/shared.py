@@ -92,14 +92,14 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/lexiquarry/{uuid.uuid4().hex}"
         atexit.register(self._quiet_drop_all)
 
-    def keep(self, frame: DataFrame, name: str) -> DataFrame:
+    def keep(self, frame: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
         conf = self.spark.conf
         flag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = conf.get(flag, "false")
         conf.set(flag, "true")  # the shuffle files of a table that is now written serve no one
         try:
-            frame.write.option("compression", "zstd").mode("overwrite").parquet(path)
+            frame.write.options(compression="zstd", **(options or {})).mode("overwrite").parquet(path)
         finally:
             conf.set(flag, before)
         return self.spark.read.schema(frame.schema).parquet(path)
