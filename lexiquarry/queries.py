@@ -13,7 +13,8 @@ from .functions import text as T
 from .operators import doc_sets, merge, reconcile, snippet
 from .operators import index as I
 from .plans import search as Q
-from .plans.parser import And, Node, Or, Phrase, QueryError, Term, describe, leaves, parse
+from .plans.parser import And, Node, Or, Phrase, QueryError, Term, describe, leaves, parse, phrase_terms
+from .scratch import Scratch
 from .sources.store import Manifest, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,13 +36,17 @@ def source(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def match(spark: SparkSession, d: str, query: str, name: str = "documents", live: DataFrame | None = None) -> DataFrame:
-    """All matches of a query over a table, positions made for the query's own terms only."""
-    node = parse(query)
-    src = source(spark, d, name)
-    if live is not None:
-        src = src.join(live, "doc_id", "left_anti")
-    return Q.match_all(I.postings(src, "doc_id", "text", leaves(node)), I.doc_table(src, "doc_id", "text"), node)
+def rows_of(spark: SparkSession, d: str, *queries: str, name: str = "documents", keep: bool = True) -> tuple[DataFrame, list[str]]:
+    """A table's occurrences of the terms of some queries, and these terms. Kept, so that statistics and matches of all of them need one look at the texts."""
+    nodes = [parse(q) for q in queries]
+    terms = list(dict.fromkeys(t for n in nodes for t in leaves(n)))
+    rows = Q.occurrences(source(spark, d, name), terms, {t for n in nodes for t in phrase_terms(n)})
+    return Scratch(spark).keep(rows, "occurrences") if keep else rows, terms
+
+
+def match(spark: SparkSession, d: str, query: str, name: str = "documents", keep: bool = True) -> DataFrame:
+    """All matches of a query over a table."""
+    return Q.match_rows(*rows_of(spark, d, query, name=name, keep=keep), query)
 
 
 def rounded(found: DataFrame, *keys: str) -> DataFrame:
@@ -156,7 +161,7 @@ def search_total(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("search_limit_zero", _sql("of the", out="SELECT doc_id, round(score, 6) AS score FROM found LIMIT 0"))
 def search_limit_zero(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(Q.page(match(spark, d, "of the"), 0))
+    return rounded(Q.page(match(spark, d, "of the", keep=False), 0))
 
 
 @_add(
@@ -165,19 +170,15 @@ def search_limit_zero(spark: SparkSession, d: str) -> DataFrame:
     f"UNION ALL SELECT 'documents', doc_id, round(score, 6) FROM (WITH {match_sql('the')} SELECT * FROM found)",
 )
 def search_multi_root(spark: SparkSession, d: str) -> DataFrame:
-    roots = {}
-    for name in ("documents", "conversations"):
-        src = source(spark, d, name)
-        roots[name] = (I.postings(src, "doc_id", "text", ["the"]), I.doc_table(src, "doc_id", "text"))
-    return rounded(Q.search_roots(roots, "the").every, "root", "doc_id")
+    found = [match(spark, d, "the", name).withColumn("root", F.lit(name)) for name in ("conversations", "documents")]
+    return rounded(found[0].unionByName(found[1]), "root", "doc_id")
 
 
 @_add("tombstone_search", _sql("from", where="WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
 def tombstone_search(spark: SparkSession, d: str) -> DataFrame:
     gone = spark.read.parquet(f"{d}/labels.parquet").where("toxic = 1").select("doc_id")
-    src = source(spark, d)
-    docs = I.live(I.doc_table(src, "doc_id", "text"), gone)
-    return rounded(Q.match_all(I.postings(src, "doc_id", "text", ["from"]), docs, "from"))
+    rows, terms = rows_of(spark, d, "from")
+    return rounded(Q.match_rows(rows.join(gone, "doc_id", "left_anti"), terms, "from"))
 
 
 @_add("search_snippets")
@@ -233,7 +234,8 @@ def phrase_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return match(spark, d, "from"), match(spark, d, "with")
+    rows, terms = rows_of(spark, d, "from", "with")
+    return Q.match_rows(rows, terms, "from"), Q.match_rows(rows, terms, "with")
 
 
 _TWO = f"a AS (SELECT * FROM (WITH {match_sql('from')} SELECT * FROM found)), b AS (SELECT * FROM (WITH {match_sql('with')} SELECT * FROM found))"
