@@ -3,13 +3,12 @@
 import pytest
 from lexiquarry import queries as E
 from lexiquarry.functions import text as T
-from lexiquarry.operators import index as I
 from lexiquarry.plans import search as Q
 from pyspark.sql import functions as F
 
 TEXTS = [(1, "from the top of the tree"), (2, "with a view from AboveHere"), (3, None), (4, "the of and_the rest with"), (5, "from with from"), (6, "")]
 #: These read what one look at the texts has left behind.
-ONE_LOOK = ["set_union"]
+ONE_LOOK = ["set_union", "set_difference"]
 
 
 @pytest.fixture(scope="module")
