@@ -30,18 +30,55 @@ def tokens(source: DataFrame, id_col: str, text_col: str, terms: list[str] | Non
     return out.where(F.octet_length("term") <= T.MAX_TERM_BYTES) if terms is None else out.where(F.col("term").isin(terms))
 
 
-def postings(source: DataFrame, id_col: str, text_col: str, terms: list[str] | None = None) -> DataFrame:
-    """The texts are dealt by document first, so their many more tokens are grouped where they are."""
-    dealt = source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
-    # a term stands once at a place, so the list of places has no repeats
-    grouped = tokens(dealt, "doc_id", "text", terms).groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.select("term", "doc_id", F.size("positions").alias("tf"), "positions")
+def _in_rows(source: DataFrame, terms: list[str] | None, places: bool = True) -> DataFrame:
+    """doc_id, s (the document's terms, with their places or without, sorted), b (where each begins in s): all within its row, without an exchange."""
+    a, s = F.col("a"), F.col("s")
+    term = (lambda v: v["term"]) if places else (lambda v: v)
+    made = (lambda t, i: F.struct(t.alias("term"), i.alias("pos"))) if places else (lambda t, i: t)
+    wanted = (lambda v: term(v).isin(terms)) if terms is not None else (lambda v: F.octet_length(term(v)) <= T.MAX_TERM_BYTES)
+    atoms = T.atoms(F.col("text"))
+    if terms is None:
+        placed = F.transform(a, lambda x, i: F.transform(T.parts(x), lambda t: made(t, i)))
+    else:  # atoms that can't give any of them go first
+        atoms = F.filter(F.transform(atoms, lambda x, i: F.when(F.lower(x).isin(terms) | T.splittable(x), F.struct(x.alias("x"), i.alias("i")))), lambda h: h.isNotNull())
+        placed = F.transform(a, lambda h: F.transform(T.parts(h["x"]), lambda t: made(t, h["i"])))
+    rows = source.select("doc_id", atoms.alias("a")).select("doc_id", F.sort_array(F.filter(F.flatten(placed), wanted)).alias("s"))
+    begins = F.transform(s, lambda v, i: F.when((i == 0) | (term(v) != term(F.get(s, i - 1))), i))
+    return rows.select("doc_id", "s", F.filter(begins, lambda i: i.isNotNull()).alias("b"))
+
+
+def _each(rows: DataFrame, made) -> DataFrame:
+    """One row for each term of a document; ``made`` gives its fields by (s, begin, length)."""
+    s, b = F.col("s"), F.col("b")
+    run = lambda at, j: F.struct(*made(s, at, F.coalesce(F.get(b, j + 1), F.size(s)) - at))
+    return rows.select("doc_id", F.explode(F.transform(b, run)).alias("p")).select("doc_id", "p.*")
+
+
+def _apart(source: DataFrame, unique: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose id no other row has, and the rest, if any: their places have to be brought together. Only ids are read for it."""
+    ids = None if unique else source.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
+    if ids is None or ids.isEmpty():
+        return source, None
+    same = F.col("doc_id").eqNullSafe(F.col("twice"))
+    return source.join(ids, same, "left_anti"), source.join(ids, same, "left_semi")
+
+
+def postings(source: DataFrame, id_col: str, text_col: str, terms: list[str] | None = None, unique: bool = False) -> DataFrame:
+    """Made within the row of each document; only rows that share an id (``unique``: none) are grouped."""
+    one, rest = _apart(source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), unique)
+    out = _each(_in_rows(one, terms), lambda s, at, n: [F.get(s, at)["term"].alias("term"), F.transform(F.slice(s, at + 1, n), lambda v: v["pos"]).alias("positions")])
+    if rest is not None:
+        out = out.unionByName(tokens(rest, "doc_id", "text", terms).groupBy("doc_id", "term").agg(F.sort_array(F.collect_set("pos")).alias("positions")))
+    return out.select("term", "doc_id", F.size("positions").alias("tf"), "positions")
 
 
 def frequencies(source: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, term, tf: postings without places, counted where the document is."""
-    dealt = source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
-    return tokens(dealt, "doc_id", "text").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """doc_id, term, tf: postings without places."""
+    one, rest = _apart(source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), False)
+    out = _each(_in_rows(one, None, False), lambda s, at, n: [F.get(s, at).alias("term"), n.cast("long").alias("tf")])
+    if rest is not None:
+        out = out.unionByName(tokens(rest, "doc_id", "text").groupBy("doc_id", "term").agg(F.countDistinct("pos").alias("tf")))
+    return out
 
 
 def with_ids(files: DataFrame, base: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from lexiquarry import queries as E
 from lexiquarry.functions import text as T
+from lexiquarry.operators import index as I
 from lexiquarry.plans import search as Q
 from pyspark.sql import functions as F
 
@@ -45,3 +46,20 @@ def test_rows_that_share_an_id(spark):
     rows = Q.occurrences(src, terms, set(terms))
     assert sorted(r.doc_id for r in Q.match_rows(rows, terms, "from the").collect()) == [1, 1]
     assert Q.match_rows(rows, terms, '"the from"').count() == 2
+
+
+def test_postings_need_no_exchange(spark, folder):
+    made = I.postings(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id", "text")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r.term, r.doc_id): r.positions for r in made.where("doc_id in (4, 5)").collect()} == {
+        ("the", 4): [0, 3 - 1], ("of", 4): [1], ("and_the", 4): [2], ("and", 4): [2], ("rest", 4): [3], ("with", 4): [4], ("from", 5): [0, 2], ("with", 5): [1],
+    }
+
+
+def test_postings_of_rows_that_share_an_id(spark):
+    """One row a term and id, each place once, as the SQL has it; a null id is an id."""
+    src = spark.createDataFrame([(1, "a b"), (1, "b b"), (2, "b"), (None, "b"), (None, "c b")], "doc_id long, text string")
+    got = {(r.doc_id, r.term): r.positions for r in I.postings(src, "doc_id", "text").collect()}
+    assert got == {(1, "a"): [0], (1, "b"): [0, 1], (2, "b"): [0], (None, "b"): [0, 1], (None, "c"): [0]}
+    df = {r.term: (r.df, r.total_tf) for r in I.dictionary(I.frequencies(src, "doc_id", "text")).collect()}
+    assert df == {"a": (1, 1), "b": (3, 5), "c": (1, 1)}
