@@ -73,7 +73,9 @@ def with_snippets(hits: DataFrame, texts: DataFrame, query: str | Node, width: i
     """Hits (a page of them) with line_no, snippet and highlights; null where no line matches."""
     ship(hits.sparkSession)
     node = parse(query) if isinstance(query, str) else query
-    joined = hits.join(texts.select("doc_id", "text"), "doc_id", "left")
+    # a page has few ids, so texts are only passed by; those of the page alone meet it again
+    texts = texts.select("doc_id", "text").join(hits.select("doc_id"), "doc_id", "left_semi")
+    joined = hits.join(texts, "doc_id", "left")
     fields = joined.drop("text").schema
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

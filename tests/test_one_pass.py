@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 TEXTS = [(1, "from the top of the tree"), (2, "with a view from AboveHere"), (3, None), (4, "the of and_the rest with"), (5, "from with from"), (6, "")]
 #: These read what one look at the texts has left behind.
-ONE_LOOK = ["set_union", "set_difference", "set_intersect"]
+ONE_LOOK = ["set_union", "set_difference", "set_intersect", "search_snippets"]
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +63,10 @@ def test_postings_of_rows_that_share_an_id(spark):
     assert got == {(1, "a"): [0], (1, "b"): [0, 1], (2, "b"): [0], (None, "b"): [0, 1], (None, "c"): [0]}
     df = {r.term: (r.df, r.total_tf) for r in I.dictionary(I.frequencies(src, "doc_id", "text")).collect()}
     assert df == {"a": (1, 1), "b": (3, 5), "c": (1, 1)}
+
+
+def test_page_passes_texts_by(spark, folder):
+    """No exchange below the page's own few texts."""
+    frame = E.search_snippets(spark, folder)
+    assert "LeftSemi" in plan(frame)
+    assert [r.doc_id for r in frame.collect()] == [1]
