@@ -70,3 +70,13 @@ def test_page_passes_texts_by(spark, folder):
     frame = E.search_snippets(spark, folder)
     assert "LeftSemi" in plan(frame)
     assert [r.doc_id for r in frame.collect()] == [1]
+
+
+#: These group tokens by term alone; the pairs of term and document are never held.
+BY_TERM = ["term_df_topk"]
+
+
+@pytest.mark.parametrize("name", BY_TERM)
+def test_terms_are_counted_within_rows(spark, folder, name):
+    made = E.QUERIES[name](spark, folder)
+    assert "hashpartitioning(doc_id" not in made._jdf.queryExecution().executedPlan().toString()
