@@ -73,7 +73,7 @@ def test_page_passes_texts_by(spark, folder):
 
 
 #: These group tokens by term alone; the pairs of term and document are never held.
-BY_TERM = ["term_df_topk", "term_dictionary"]
+BY_TERM = ["term_df_topk", "term_dictionary", "index_stats"]
 
 
 @pytest.mark.parametrize("name", BY_TERM)
