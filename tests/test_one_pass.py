@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 TEXTS = [(1, "from the top of the tree"), (2, "with a view from AboveHere"), (3, None), (4, "the of and_the rest with"), (5, "from with from"), (6, "")]
 #: These read what one look at the texts has left behind.
-ONE_LOOK = ["set_union", "set_difference", "set_intersect", "search_snippets", "search_topk", "search_phrase3", "search_missing_term", "search_phrase_not", "tombstone_search", "search_not", "search_term", "search_total"]
+ONE_LOOK = ["set_union", "set_difference", "set_intersect", "search_snippets", "search_topk", "search_phrase3", "search_missing_term", "search_phrase_not", "tombstone_search", "search_not", "search_term", "search_total", "search_nested"]
 
 
 @pytest.fixture(scope="module")
