@@ -116,8 +116,8 @@ def live(docs: DataFrame, tombstones: DataFrame | None = None, overlay: DataFram
 
 
 def stored_layout(postings_: DataFrame, buckets: int = 16) -> DataFrame:
-    """Postings spread by term hash and sorted, for ``partitionBy('bucket')`` writes with narrow row-group ranges."""
-    return postings_.withColumn("bucket", term_bucket(F.col("term"), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "doc_id")
+    """Postings spread by term hash and sorted, for ``partitionBy('bucket')`` writes with narrow row-group ranges. A large bucket is dealt to as many tasks as its size asks for."""
+    return postings_.withColumn("bucket", term_bucket(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
 
 
 def term_bucket(term: Column, buckets: int) -> Column:

@@ -32,6 +32,10 @@ def source(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
     """A table of texts. Where its files give fewer tasks than there are cores, its rows are dealt out; a large table stays as it is read."""
     key, text = CORPORA[name]
     rows = spark.read.parquet(f"{d}/{name}.parquet").select(F.expr(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _dealt(spark, rows)
+
+
+def _dealt(spark: SparkSession, rows: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
@@ -256,12 +260,12 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
     return rounded(doc_sets.difference(*_two(spark, d)))
 
 
-def _as_files(spark: SparkSession, d: str) -> DataFrame:
+def _as_files(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """The documents as if they were files of folders named by source."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select(
         "doc_id", F.format_string("%s/%08d.txt", F.coalesce("source", F.lit("none")), "doc_id").alias("path"), (F.col("doc_id") + 1).alias("inode"), F.col("n_chars").alias("mtime_ns"),
-        F.octet_length("text").cast("long").alias("size"), F.lit("Indexed").alias("status"), F.md5("text").alias("content_hash"), "lang", F.lit("Text").alias("kind"),
+        F.octet_length("text").cast("long").alias("size"), F.lit("Indexed").alias("status"), F.md5("text").alias("content_hash"), "lang", F.lit("Text").alias("kind"), *more,
     )
 
 
@@ -376,7 +380,7 @@ def merge_plan(spark: SparkSession, d: str) -> DataFrame:
 def stored(spark: SparkSession, d: str, segments: int = 3) -> Root:
     """The documents as a stored index of some segments, in the shared folder: docs and postings written, named by a manifest."""
     root = Root(spark, shared_folder(spark))
-    files = _as_files(spark, d).join(source(spark, d), "doc_id")
+    files = _dealt(spark, _as_files(spark, d, "text"))
     low, high = files.agg(F.min("doc_id"), F.max("doc_id")).first()
     bases = sorted({low + i * (high + 1 - low) // segments for i in range(segments)})
     made = [root.store.write_segment(files.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)), a) for a, b in zip(bases, [*bases[1:], high + 1], strict=True)]
