@@ -1,6 +1,7 @@
 """What a stored index does with all its postings grows with their number, not with a fixed number of tasks."""
 
 from lexiquarry.operators import index as I
+from lexiquarry.operators import merge
 
 POSTS = [("a", 1, 1, [0]), ("a", 1, 1, [0]), ("b", 1, 1, [1]), ("a", 2, 1, [0])]
 
@@ -17,3 +18,9 @@ def test_large_buckets_are_dealt_out(spark):
 def test_stored_postings_look_for_no_shared_ids(spark):
     src = spark.createDataFrame([(1, "a b a")], "doc_id long, text string")
     assert {r.term: r.positions for r in I.postings(src, "doc_id", "text", unique=True).collect()} == {"a": [0, 2], "b": [1]}
+
+
+def test_merge_sorts_no_postings(spark):
+    ids = spark.createDataFrame([(1, 7), (2, 8)], "old_id long, doc_id long")
+    made = merge.rewrite(posts(spark).select("doc_id"), posts(spark), ids)[1]
+    assert "ShuffledHashJoin" in made._jdf.queryExecution().executedPlan().toString() and {r.doc_id for r in made.collect()} == {7, 8}
