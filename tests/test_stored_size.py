@@ -2,6 +2,7 @@
 
 from lexiquarry.operators import index as I
 from lexiquarry.operators import merge
+from lexiquarry.sources.store import Store
 
 POSTS = [("a", 1, 1, [0]), ("a", 1, 1, [0]), ("b", 1, 1, [1]), ("a", 2, 1, [0])]
 
@@ -24,3 +25,8 @@ def test_merge_sorts_no_postings(spark):
     ids = spark.createDataFrame([(1, 7), (2, 8)], "old_id long, doc_id long")
     made = merge.rewrite(posts(spark).select("doc_id"), posts(spark), ids)[1]
     assert "ShuffledHashJoin" in made._jdf.queryExecution().executedPlan().toString() and {r.doc_id for r in made.collect()} == {7, 8}
+
+
+def test_verify_groups_by_the_number_of_postings(spark, tmp_path):
+    held = Store(spark, str(tmp_path))._by_document(posts(spark), 40_000_000)
+    assert {r.doc_id: r.most for r in held.collect()} == {1: 2, 2: 1}
